@@ -80,19 +80,27 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, least: int = 10_00
     return counts.join(F.broadcast(total), F.col("_n") > F.col("_floor")).select(key)
 
 
-def join_unique(big: DataFrame, unique: DataFrame, key: str, how: str = "inner", least: int = 10_000) -> DataFrame:
-    """big join unique on key, where unique has one row a key and big may have hot keys.
+def join_unique(big: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", least: int = 10_000, salts: int = 64, hot: DataFrame | None = None) -> DataFrame:
+    """big join unique on key, where unique has one row (or few) a key and big may have hot keys.
 
-    Hot keys are at most HOT_SHARE by definition, so their rows of `unique` are
-    broadcast; the other keys take a shuffle join, in which no key is large.
+    The list of hot keys is bounded by HOT_SHARE and broadcast.  Their rows in
+    `big` are dealt over `salts` tasks by a hash of `spread`, and only their
+    rows in `unique` are repeated as often.  A caller that has counted the keys
+    already gives `hot` itself.
     """
-    hot = materialise(hot_keys(big, key, least=least), "hot")
+    hot = materialise(hot_keys(big, key, least=least) if hot is None else hot, "hot")
     if hot.isEmpty():
         return big.join(unique, key, how)
-    marked = big.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    large = unique.join(F.broadcast(hot), key, "left_semi")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot").join(unique, key, how)
-    return marked.where("_hot").drop("_hot").join(F.broadcast(large), key, how).unionByName(cold)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = unique.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 500_000) -> DataFrame:
+    """Semi or anti join with a written table of ids, broadcast only if it has at most `most` rows."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -113,16 +121,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         parent = materialise(parent, "parent")
         while True:  # pointers only go to smaller nodes, so this ends
             up = parent.select(F.col("r").alias("p"), F.col("p").alias("pp"))
-            jumped = join_unique(parent, up, "p", "left").select("r", F.coalesce("pp", "p").alias("p2"), "p")
+            jumped = join_unique(parent, up, "p", "r", "left").select("r", F.coalesce("pp", "p").alias("p2"), "p")
             jumped = materialise(jumped, "jump")
             moved = not jumped.where("p2 <> p").isEmpty()
             parent = jumped.select("r", F.col("p2").alias("p"))
             if not moved:
                 break
         to = parent.select(F.col("r").alias("component"), F.col("p").alias("_p"))
-        labels = materialise(join_unique(labels, to, "component", "left").select("node", F.coalesce("_p", "component").alias("component")), "labels")
-        for end in ("a", "b"):
+        labels = materialise(join_unique(labels, to, "component", "node", "left").select("node", F.coalesce("_p", "component").alias("component")), "labels")
+        for end, other in (("a", "b"), ("b", "a")):
             to = parent.select(F.col("r").alias(end), F.col("p").alias("_p"))
-            edges = join_unique(edges, to, end, "left").withColumn(end, F.coalesce("_p", end)).drop("_p")
+            edges = join_unique(edges, to, end, other, "left").withColumn(end, F.coalesce("_p", end)).drop("_p")
         edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     return labels

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import packing, quality_rules, tokens
-from foliant.llm.common import work_folder
+from foliant.llm import classifier, near_dup, packing, quality_rules, tokens, url_filter
+from foliant.llm.common import materialise, work_folder
 
 
 def tokenizer_path() -> str:
@@ -34,14 +34,31 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialise(classifier.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    out = classifier.score(stats, classifier.fit(stats, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
