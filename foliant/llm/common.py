@@ -83,15 +83,16 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, least: int = 10_00
 def join_unique(big: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", least: int = 10_000, salts: int = 64, hot: DataFrame | None = None) -> DataFrame:
     """big join unique on key, where unique has one row (or few) a key and big may have hot keys.
 
-    The list of hot keys is bounded by HOT_SHARE and broadcast.  Their rows in
+    The list of hot keys is bounded by HOT_SHARE, so it is gathered and broadcast.  Their rows in
     `big` are dealt over `salts` tasks by a hash of `spread`, and only their
     rows in `unique` are repeated as often.  A caller that has counted the keys
     already gives `hot` itself.
     """
-    hot = materialise(hot_keys(big, key, least=least) if hot is None else hot, "hot")
-    if hot.isEmpty():
+    found = hot_keys(big, key, least=least) if hot is None else hot
+    rows = found.collect()  # at most HOT_SHARE keys
+    if not rows:
         return big.join(unique, key, how)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(big.sparkSession.createDataFrame(rows, found.schema).withColumn("_hot", F.lit(True)))
     dealt = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = unique.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
