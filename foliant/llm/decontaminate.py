@@ -51,9 +51,14 @@ def tokens(text: Column) -> tuple[Column, Column]:
 
 def windows(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """(key, pos, h) of every window; hashes are spread before anything else is kept."""
-    with_tokens = df.select(key, tokens(F.col(text))[1].alias("c"))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("c") - window + 1), lambda i: F.xxhash64(F.slice("c", i, window)))
-    return with_tokens.where(F.size("c") >= window).select(key, F.posexplode(hashes).alias("pos", "h"))
+
+    def hashes(c: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(c) - window + 1), lambda i: F.xxhash64(F.slice(c, i, window)))
+        return F.when(F.size(c) >= window, every).otherwise(F.array().cast("array<long>"))
+
+    # One lambda over the tokens, and no filter on them: either would have them made twice.
+    found = F.transform(F.array(tokens(F.col(text))[1]), hashes)[0]
+    return df.select(key, F.posexplode(found).alias("pos", "h"))
 
 
 def _is_slot(token: Column) -> Column:

@@ -70,18 +70,21 @@ VOTERS = 5
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<s, e, v>>: leftmost non-overlapping matches with their code-point offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     kind = "array<struct<s:int,e:int,v:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["v"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v")))).alias("out"))
 
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("v")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, zero, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    def placed(p: Column) -> Column:
+        steps = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["found"])), p["found"], lambda g, v: F.struct(g.alias("gap"), v.alias("v")))
+        return F.aggregate(steps, zero, step, lambda a: a["out"])
+
+    # As a lambda's argument the two lists are made once, however often it names them.
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.transform(F.array(both), placed)[0]
 
 
 def digits(v: Column) -> Column:
