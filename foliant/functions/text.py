@@ -169,7 +169,7 @@ def dehyphenate(text: Column) -> Column:
 
 
 def truncate_at_boundary(text: Column, limit: int) -> Column:
-    """At most limit characters, cut after a sentence in the last two fifths, else at a space."""
+    """At most limit characters, cut after a sentence or at a space in the last two fifths, else hard."""
     head = F.substring(text, 1, limit)
 
     def last(mark: str) -> Column:
@@ -179,11 +179,11 @@ def truncate_at_boundary(text: Column, limit: int) -> Column:
     cut = None
     for mark in (". ", "! ", "? ", ".\n"):
         at = last(mark)
-        here = F.when(at >= int(limit * 0.6), at)
+        here = F.when(at - 1 >= int(limit * 0.6), at)
         cut = here if cut is None else F.coalesce(cut, here)
     space = last(" ")
-    cut = F.coalesce(cut, F.when(space > 1, space - 1), F.lit(limit))
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, F.lit(1), cut.cast("int"))), F.lit("...")))
+    cut = F.coalesce(cut, F.when(space - 1 >= int(limit * 0.6), space - 1), F.lit(limit))
+    return F.when(F.length(text) <= limit, text).otherwise(F.substring(text, F.lit(1), cut.cast("int")))
 
 
 def preview(text: Column, limit: int = 80) -> Column:
