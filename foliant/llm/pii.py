@@ -100,7 +100,8 @@ def luhn(v: Column) -> Column:
 
 def valid(kind: str, v: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(v, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 4).cast("int"), F.lit(0)) <= 255))
+        bare = lambda p: F.regexp_replace(p, "^0+", "")
+        return F.forall(F.split(v, r"\."), lambda p: (F.length(bare(p)) <= 3) & (F.lpad(bare(p), 3, "0") <= "255"))
     if kind == "card":
         return F.length(digits(v)).between(13, 19) & luhn(v)
     if kind == "phone":
