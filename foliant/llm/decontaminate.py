@@ -38,7 +38,7 @@ def clean(text: Column) -> Column:
 def canonical(cleaned: Column) -> Column:
     """The cleaned text with placeholders, word for word."""
     out = F.regexp_replace(cleaned, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{M}'’-]*", NAME)
-    out = F.regexp_replace(out, r"\p{Nd}+(?:[.,:/-]\p{Nd}+)*+", NUMBER)
+    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])\p{Nd}+(?:[.,:/-]\p{Nd}+)*+", NUMBER)
     out = F.regexp_replace(out, rf"(?i){NUMBER}( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
     return F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT} ]+", "")
 
@@ -69,7 +69,7 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 8,
-    literal: int = 5,
+    literal: int = 4,
     min_words: int = 12,
     id_col: str = "doc_id",
     text_col: str = "text",
