@@ -195,3 +195,53 @@ def test_layout(spark):
     boxes = spark.createDataFrame([(1, 5.0), (2, 1.0), (2, 9.0)], "page int, y double")
     marks = spark.createDataFrame([(1, 2.0, "A"), (2, 4.0, "B")], "page int, y double, title string")
     assert {(r.page, r.y): r.title for r in layout.sections(boxes, marks).collect()} == {(1, 5.0): "A", (2, 1.0): "A", (2, 9.0): "B"}
+
+
+class Letters:
+    """A provider that counts letters."""
+
+    def embed(self, texts):
+        return [[float(t.lower().count(c)) for c in "aeiou"] + [1.0] for t in texts]
+
+
+def test_library_calls(spark, tmp_path):
+    from foliant.api import Library
+    from foliant.plans import render
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.epub").write_bytes(epub())
+    (folder / "copy.epub").write_bytes(epub())
+    (folder / "b.docx").write_bytes(docx())
+    (folder / "d.txt").write_bytes(b"x")
+    lib = Library(spark, str(tmp_path / "lib"), Letters())
+    first = {r.path.rsplit("/", 1)[1]: r.status for r in lib.add(str(folder), collection="c").collect()}
+    assert first["b.docx"] == "added" and first["d.txt"] == "unsupported" and lib.list("c").count() == 2
+    again = {r.path.rsplit("/", 1)[1]: r.status for r in lib.add(str(folder)).collect()}
+    assert again["a.epub"] == "duplicate" and lib.list().count() == 2
+    assert {r.status for r in lib.add(str(folder), policy="replace").collect()} == {"replaced", "unsupported"} and lib.list().count() == 2
+    hits = lib.search("hello", top_k=3, mode="keyword").results
+    assert lib.search("hello", top_k=3).results
+    assert hits and hits[0]["book_title"] == "T" and "Hello" in render.results(hits)
+    book = hits[0]["book_id"]
+    assert render.outline(r.asDict() for r in lib.structure(book).collect()).startswith("- ")
+    assert lib.read(book, 0, 5).count() >= 1
+    lib.update(book, title="New")
+    assert lib.list().where("title = 'New'").count() == 1
+    assert {r.status for r in lib.reindex().collect()} == {"success"}
+    assert lib.remove(book) and lib.list().count() == 1 and lib.store.read("vectors").where(F.col("book_id") == book).count() == 0
+    assert "| Id |" in render.book_table(r.asDict() for r in lib.list().collect())
+
+
+def test_requests_and_enrichment(spark):
+    from foliant.operators import embedding, enrich
+
+    assert list(embedding.requests(["a b", "c d e", "f"], most=4)) == [["a b"], ["c d e", "f"]]
+    assert list(embedding.requests(["a b c"], most=4, each=2)) == [["a b"]]
+    cols = "isbn string, title string, authors array<string>, publisher string, year string, description string"
+    books = spark.createDataFrame([("9780134685991", "Effective", ["J"], None, None, None), (None, "Deep Spark: A Tour", ["Ann"], None, None, None), (None, "Other", ["X"], None, None, None)], cols)
+    one = spark.createDataFrame([("9780134685991", "Effective", ["J"], "AW", "2018", None)], cols)
+    two = spark.createDataFrame([("0134685997", "Effective", ["J"], "XX", "1", "text"), (None, "Deep Spark", ["ann"], "P", "2020", "d")], cols)
+    got = {r.title: r for r in enrich.enrich(books, one, two).collect()}
+    assert (got["Effective"].publisher, got["Effective"].description, got["Effective"].source) == ("AW", "text", 0)
+    assert (got["Deep Spark: A Tour"].year, got["Deep Spark: A Tour"].source, got["Other"].source) == ("2020", 1, None)
