@@ -40,10 +40,10 @@ def accent_table() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, as the keyword index sees it."""
+    """Lower case without accents, as the keyword index sees it.  Plain ASCII needs no table."""
     src, dst = accent_table()
-    plain = F.regexp_replace(F.translate(F.lower(text), src, dst), r"\p{M}+", "")
-    return plain
+    low = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), low).otherwise(F.regexp_replace(F.translate(low, src, dst), r"\p{M}+", ""))
 
 
 def tokens(text: Column) -> Column:

@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import STOPWORDS, tokens, tokens_py
+from foliant.functions.text import SEPARATORS, STOPWORDS, fold, tokens, tokens_py
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
+#: A character inside a token.
+_IN = r"[\p{L}\p{N}\p{Co}]"
+
 
 def query_words(query: str) -> list[str]:
     """The words that count: with a letter or digit, and no stopwords unless there is nothing else."""
@@ -24,13 +27,18 @@ class Phrase:
 
     tokens: tuple[str, ...]
 
-    def count(self, text_tokens: Column) -> Column:
-        if len(self.tokens) == 1:
-            return F.size(F.filter(text_tokens, lambda t: t == self.tokens[0]))
-        n = len(self.tokens)
-        want = F.array(*map(F.lit, self.tokens))
-        places = F.sequence(F.lit(1), F.greatest(F.size(text_tokens) - n + 1, F.lit(1)))
-        return F.when(F.size(text_tokens) < n, 0).otherwise(F.size(F.filter(places, lambda i: F.slice(text_tokens, i, n) == want)))
+    def count(self, folded: Column) -> Column:
+        """Places in a folded text where the tokens follow each other.  Tokens are letters and digits, so they need no escapes."""
+        first, *rest = self.tokens
+        after = "".join(f"{SEPARATORS}{t}" for t in rest)
+        pattern = f"(?<!{_IN}){first}(?={after}(?!{_IN}))"
+        every = F.lit(True)
+        for t in self.tokens:
+            every = every & folded.contains(t)
+        return F.when(every, F.regexp_count(folded, F.lit(pattern))).otherwise(F.lit(0))
+
+    def possible(self, folded: Column) -> Column:
+        return folded.contains(self.tokens[0])
 
 
 def phrases(query: str) -> list[Phrase]:
@@ -41,15 +49,20 @@ def bm25(chunks: DataFrame, query: str, match_all: bool = False, id_col: str = "
     """(chunk_id, bm25) of the chunks that match; statistics cover all of `chunks`.
 
     Terms are counted inside the scan and only numbers leave it: one row of
-    statistics is broadcast back, so nothing is shuffled however large the library.
+    statistics is broadcast back, so nothing is shuffled however large the
+    library.  The second scan counts only in texts that hold a term at all.
     """
     terms = phrases(query)
     if not terms:
         return chunks.select(id_col, F.lit(0.0).alias("bm25")).limit(0)
-    # The generator keeps later filters above it, so each text is split into tokens once.
-    counts = F.transform(F.array(tokens(F.col(text_col))), lambda t: F.struct(F.size(t).alias("dl"), *(p.count(t).alias(f"tf{i}") for i, p in enumerate(terms))))
-    counted = chunks.select(id_col, F.explode(counts).alias("c")).select(id_col, "c.*")
-    stats = counted.agg(
+    folded = fold(F.col(text_col))
+    # The generator keeps later filters above it, so each text is folded once.
+    counts = F.transform(F.array(folded), lambda t: F.struct(F.regexp_count(t, F.lit(f"{_IN}+")).alias("dl"), *(p.count(t).alias(f"tf{i}") for i, p in enumerate(terms))))
+    some = terms[0].possible(folded)
+    for p in terms[1:]:
+        some = some & p.possible(folded) if match_all else some | p.possible(folded)
+    counted = chunks.where(some).select(id_col, F.explode(counts).alias("c")).select(id_col, "c.*")
+    stats = chunks.select(F.explode(counts).alias("c")).select("c.*").agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))
     )
     hit = [F.col(f"tf{i}") > 0 for i in range(len(terms))]

@@ -476,7 +476,7 @@ def page_blocks(spark, sf_dir):
 
 @query()
 def chunk_documents(spark, sf_dir):
-    blocks = t.read(spark, sf_dir, "documents").select(
+    blocks = t.spread(t.read(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("book_id"), F.posexplode(F.split("text", "\n")).alias("block_index", "content"), F.lit("text").alias("content_type"),
         F.array("lang").alias("section_path"), F.lit(None).cast("string").alias("language"), F.lit("").alias("source_file"),
     )

@@ -10,6 +10,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer files than there are cores.
+
+    A small table is often one row group, which one task would read and work
+    through alone; a large one has many files and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk a document; a source is a book, and documents follow each other by id.
 
@@ -17,7 +27,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequence is the only thing that needs a shuffle, and Catalyst drops its
     window where no query asks for it or for sections.
     """
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     seq = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("int")
     section = F.when(F.col("sequence") % 25 == 0, "Index").otherwise(F.concat(F.lit("Chapter "), (F.floor(F.col("sequence") / 10) + 1).cast("string")))
     kind = F.when(F.col("doc_id") % 10 == 0, "code").when(F.col("doc_id") % 10 == 1, "table").otherwise("text")
