@@ -4,22 +4,26 @@
    Of the set only its size, a digest and its k smallest hashes (the bottom-k
    sketch) are kept.  Texts with equal digests form a class, and one document
    stands for it from here on.
-2. Inverted lists of the retained values: two sets with a similarity of at
-   least `percent` share at least ``least_shared`` retained values, so they share one
-   among the rarest |sketch| - least_shared + 1 values of each (prefix filter,
-   rarest first).  Only those go into lists, which keeps passages that many
-   documents share out of them.
-3. Overlaps: first every document of a list meets the first document of about
+2. Inverted lists of the retained values tell which documents can have a
+   partner: two sets with a similarity of at least `percent` share at least
+   SHARED retained values, so most documents, whose values are their own, drop
+   out here.
+3. Of the others the whole sets are kept, and listed by their rarest values
+   only: similar sets share one among the n - ceil(percent * n) + 1 rarest of
+   each (prefix filter).  Passages that many documents share, and what a large
+   group of edited copies has in common, stay out of the lists this way.
+4. Overlaps: first every document of a list meets the first document of about
    its size there (one pair a row, however large the list), and confirmed pairs
    join into components.  Then, in lists that still span several components,
    documents of different components meet; long lists are cut into blocks, and
    pairs of blocks are compared apart.  Inside a component no further link can
    change the result.
-4. The bottom-k sketch of the union estimates the similarity and drops pairs
-   far below the threshold; what is left is confirmed on the full sets.
+5. The bottom-k sketch of the union (k = 192 here) estimates the similarity and
+   drops pairs below the threshold; what is left is confirmed on the full sets.
 
-At the threshold a pair is missed with a probability below 3e-9 (the sketch of
-the union holds fewer than 22 of 48 shared values).  No list is cut short.
+At the threshold a pair is missed with a probability of about 3e-9 in either
+sketch (fewer than 22 of 48, or 128 of 192, values of the union are shared).
+No list is cut short.
 
 Nulls and empty texts have no shingles and link with nothing.  Rows with a
 null id get no component and are kept.  Rows that share an id are one node:
@@ -44,6 +48,8 @@ from foliant.llm.common import HOT_SHARE, components, join_ids, join_unique, map
 K = 48
 #: Retained values that two similar sets share at least (see the module's note on missed pairs).
 SHARED = 22
+#: The same two numbers of the wide sketches that estimate the similarity of a pair.
+WIDE, WIDE_SHARED = 192, 128
 
 
 def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
@@ -82,70 +88,86 @@ def least_shared(n: Column, percent: int) -> Column:
     return F.when(n <= full, F.ceil(n * percent / 100)).otherwise(F.lit(SHARED)).cast("int")
 
 
-def index(reps: DataFrame, percent: int) -> DataFrame:
-    """(doc, n, v, len): for each document its rarest retained values that other documents retain too."""
-    postings = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("v"))
+def shared_values(postings: DataFrame, rows: int) -> DataFrame:
+    """postings (doc, n, v) with `len`, the documents that have v too; values of one document are left out."""
     lists = materialise(postings.groupBy("v").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "lists")
-    hot = lists.where(F.col("len") > max(10_000, K * reps.count() // HOT_SHARE)).select("v")
-    shared = join_unique(postings, lists, "v", "doc", hot=hot)
-    size = F.least("n", F.lit(K)).cast("int")
-    own = shared.groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("len", "v"))).alias("vs"))  # at most K values
-    prefix = size - least_shared(F.col("n"), percent) + 1 - (size - F.size("vs"))  # values that only it retains come first
-    return own.where(prefix > 0).select("doc", "n", F.explode(F.slice("vs", F.lit(1), prefix)).alias("x")).select("doc", "n", "x.v", "x.len")
-
-
-def similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    hot = lists.where(F.col("len") > max(10_000, rows // HOT_SHARE)).select("v")
+    return join_unique(postings, lists, "v", "doc", hot=hot)
 
 
-def by_sketch(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the union's bottom-k sketch doesn't rule out."""
-    s = reps.select("doc_id", "n", "sketch")
-    left = s.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = s.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = join_unique(join_unique(pairs, right, "b", "a"), left, "a", "b").where(similar_sizes(F.col("na"), F.col("nb"), percent))
-    union = F.sort_array(F.array_union("sa", "sb"))
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.slice(union, 1, K)))
-    return both.where(F.when(F.size(union) < K, 100 * shared >= percent * F.size(union)).otherwise(shared >= SHARED)).select("a", "b").distinct()
+def with_partners(reps: DataFrame, percent: int) -> DataFrame:
+    """Ids of the documents whose sketch shares enough values with other sketches."""
+    postings = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("v"))
+    found = shared_values(postings, K * reps.count()).groupBy("doc", "n").agg(F.count(F.lit(1)).alias("m"))
+    return found.where(F.col("m") >= least_shared(F.col("n"), percent)).select(F.col("doc").alias("id")).distinct()
 
 
-def confirm(pairs: DataFrame, df: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets have the similarity."""
-    pairs = materialise(pairs, "candidates")
-    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+def whole_sets(df: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, n, s) with the sorted hashes of the given documents."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    texts = materialise(join_ids(texts, ids, "id", "left_semi"), "texts")
-    first = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    second = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    both = join_unique(join_unique(pairs, second, "b", "a"), first, "a", "b")
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
 
     def make():
-        last: list = [None, None]
-
-        def one(a, b, ta, tb):
-            if last[0] != ta:
-                last[:] = ta, shingle_hashes(ta, width)
-            x, y = last[1], shingle_hashes(tb, width)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            return (a, b) if 100 * shared >= percent * (len(x) + len(y) - shared) and shared else None
+        def one(key, text):
+            h = shingle_hashes(text, width)
+            return (key, len(h), h.tolist()) if len(h) else None
 
         return one
 
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return map_rows(both, ["a", "b", "ta", "tb"], make, schema).distinct()
+    return map_rows(join_ids(texts, ids, "id", "left_semi"), ["id", "t"], make, schema)
+
+
+def index(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, doc, n, len): each document under the rarest values of its set, as far as other sets have them."""
+    postings = sets.select("doc", "n", F.explode("s").alias("v"))
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    own = shared_values(postings, size).groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("len", "v"))).alias("vs"))  # at most a document's shingles
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("vs"))).cast("int")  # values of its own come first
+    return own.where(prefix > 0).select("doc", "n", F.explode(F.slice("vs", F.lit(1), prefix)).alias("x")).select("x.v", "doc", "n", "x.len")
+
+
+def similar_sizes(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketch of the union leaves and whose full sets have the similarity.
+
+    Wide sketches are whole sets for most short texts; only pairs of longer
+    ones that pass the estimate fetch the full sets.
+    """
+
+    def side(x: str, s: Column) -> DataFrame:
+        return sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), s.alias(f"s{x}"))
+
+    def exact() -> Column:
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)
+
+    sizes = sets.select("doc", "n")
+    near = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
+    near = materialise(near.where(similar_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "pairs")
+    wide = F.slice("s", 1, WIDE)
+    both = join_unique(join_unique(near, side("b", wide), "b", "a"), side("a", wide), "a", "b")
+    whole = F.greatest("na", "nb") <= WIDE
+    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.slice(F.sort_array(F.array_union("sa", "sb")), 1, WIDE)))
+    left = materialise(both.where(F.when(whole, exact()).otherwise(shared >= WIDE_SHARED)).select("a", "b", whole.alias("done")).distinct(), "left")
+    long = join_unique(join_unique(left.where("not done").select("a", "b"), side("b", F.col("s")), "b", "a"), side("a", F.col("s")), "a", "b")
+    return left.where("done").select("a", "b").union(long.where(exact()).select("a", "b")).distinct()
 
 
 def across(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs of one list but of different components that share enough retained values.
+    """Pairs of one list but of different components that are similar by their wide sketches.
 
-    `lists`: (v, doc, n, component, sketch, len).  A list longer than `block` is
-    cut into blocks by a hash of its documents, and each pair of blocks is a
-    task's work of bounded size.
+    `lists`: (v, doc, n, component, s, len) with wide sketches s.  A list longer
+    than `block` is cut into blocks by a hash of its documents, and each pair of
+    blocks is a task's work of bounded size.  What leaves a task is similar
+    exactly, or by the estimate where a set is larger than its sketch.
     """
     blocks = F.ceil(F.col("len") / block).cast("int")
     mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     others = F.sequence(F.lit(0), blocks - 1)
-    cells = lists.withColumn("mine", mine).withColumn("other", F.explode(others)).select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("own"), "doc", "n", "component", "sketch")
+    cells = lists.withColumn("mine", mine).withColumn("other", F.explode(others)).select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("own"), "doc", "n", "component", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -154,9 +176,10 @@ def across(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
         def pairs():
             rows = held
             docs, sizes, comps, own = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6, 3))
-            table = np.full((len(rows), K), -1, np.int64)
-            for at, r in enumerate(rows):
-                table[at, : len(r[7])] = r[7]
+            sets = [np.array(r[7], np.int64) for r in rows]
+            sketch = np.full((len(rows), K), -1, np.int64)
+            for at, x in enumerate(sets):
+                sketch[at, : min(len(x), K)] = x[:K]
             out_a, out_b = [], []
             for at in range(len(rows) - 1):
                 later = np.arange(at + 1, len(rows))
@@ -164,14 +187,17 @@ def across(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
                 if cell[1] != cell[2]:
                     fits &= own[later] != own[at]
                 later = later[fits]
-                if len(later):
-                    values = table[at][table[at] >= 0]
-                    shared = np.isin(table[later], values).sum(axis=1)
-                    need = np.where(np.minimum(sizes[later], sizes[at]) <= K * percent // 100, np.ceil(np.maximum(sizes[later], sizes[at]) * percent / 100), SHARED)
-                    need = np.minimum(need, SHARED)
-                    hit = later[shared >= need]
-                    out_a.append(np.minimum(docs[hit], docs[at]))
-                    out_b.append(np.maximum(docs[hit], docs[at]))
+                if not len(later):
+                    continue
+                overlap = np.isin(sketch[later], sets[at][:K]).sum(axis=1)
+                later = later[overlap >= np.minimum(SHARED, np.ceil(sizes[later] * percent / 100))]
+                hit = []
+                for x in later:
+                    m = np.intersect1d(sets[at], sets[x], assume_unique=True).size
+                    if 100 * m >= percent * (sizes[at] + sizes[x] - m) if max(sizes[at], sizes[x]) <= WIDE else m >= WIDE_SHARED:
+                        hit.append(x)
+                out_a.append(np.minimum(docs[hit], docs[at]))
+                out_b.append(np.maximum(docs[hit], docs[at]))
             if out_a:
                 a, b = np.concatenate(out_a), np.concatenate(out_b)
                 if len(a):
@@ -197,13 +223,15 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = 5, id_col: st
     classes = materialise(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = with_set.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
     reps = materialise(reps.select("doc_id", "n", "sketch"), "reps")
-    lists = materialise(index(reps, percent), "lists")
+    ids = materialise(with_partners(reps, percent), "ids")
+    sets = materialise(whole_sets(df, ids, width, id_col, text_col), "sets")
+    lists = materialise(index(sets, percent), "lists")
 
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100))
     banded = lists.withColumn("list", F.xxhash64("v", band))
     firsts = banded.groupBy("list").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    met = join_unique(banded.select("list", F.col("doc").alias("b")), firsts, "list", "b").where("a <> b").select("a", "b").distinct()
-    links = materialise(confirm(by_sketch(met, reps, percent), df, percent, width, id_col, text_col), "links")
+    met = materialise(join_unique(banded.select("list", F.col("doc").alias("b")), firsts, "list", "b").where("a <> b").select("a", "b").distinct(), "met")
+    links = confirm(met, sets, percent)
     # Rows that share an id but not a text tie their classes together.
     shared_ids = with_set.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     ties = with_set.join(shared_ids, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -212,10 +240,10 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = 5, id_col: st
 
     told = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     told = materialise(told, "told")
-    several = told.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("v")
-    rest = join_unique(told, several, "v", "doc").join(reps.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
+    several = told.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("len")).where("x < y").select("v", "len")
+    rest = join_unique(told.drop("len"), several, "v", "doc").join(sets.select("doc", F.slice("s", 1, WIDE).alias("s")), "doc")
     more = across(rest, percent).join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(confirm(by_sketch(more, reps, percent), df, percent, width, id_col, text_col), "links")
+    more = materialise(confirm(more, sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
