@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 500
+
 #: A key is hot when it holds more than 1/HOT_SHARE of a table's rows, so no
 #: table can have more than HOT_SHARE hot keys, whatever its size.
 HOT_SHARE = 2000
@@ -34,7 +37,27 @@ def work_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+#: Folders that this driver has named and not removed yet.
+_folders: list[str] = []
+
+
+def folders() -> set[str]:
+    """The work folders named so far."""
+    return set(_folders)
+
+
+def discard(spark: SparkSession, but: DataFrame, older: set[str]) -> None:
+    """Remove the work folders that came after `older`, except those that `but` reads."""
+    kept = " ".join(but.inputFiles())
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in [f for f in _folders if f not in older and f.rsplit("/", 1)[1] not in kept]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+        _folders.remove(folder)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
@@ -66,9 +89,11 @@ def map_rows(
         target = to_arrow_schema(schema)
         f = make()
         for batch in batches:
-            rows = [r for r in map(f, *(batch.column(i).to_pylist() for i in range(batch.num_columns))) if r is not None]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(target)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, target, strict=True)], schema=target)
+            for at in range(0, batch.num_rows, SLICE):  # bounds the Python objects of a task
+                part = batch.slice(at, SLICE)
+                rows = [r for r in map(f, *(part.column(i).to_pylist() for i in range(part.num_columns))) if r is not None]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * len(target)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(cols, target, strict=True)], schema=target)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import WORD, join_unique, map_rows, materialise
+from foliant.llm.common import SLICE, WORD, join_unique, map_rows, materialise
 
 _ENDS = re.compile(r"[.!?…][\"'”’)\]]*$")
 _OUTER = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
@@ -96,9 +96,9 @@ def removed_runs(df: DataFrame, min_words: int = 30, id_col: str = "doc_id", tex
     joined = table.join(materialise(lists, "lists"), "doc_id", "left").where(F.col("repeated").isNotNull() | own)
 
     def run(batches):
-        for batch in batches:
+        for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             out: list[tuple] = []
-            for key, starts, ends, words, h1, h2, rep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, starts, ends, words, h1, h2, rep in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 first = {(r["h1"], r["h2"]): r["first"] for r in rep or ()}
                 seen: set = set()
                 held: tuple | None = None
