@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import classifier, decontaminate, near_dup, packing, pii
-from foliant.llm.common import join_ids, materialise
+from foliant.llm.common import discard, folders, join_ids, materialise
 from foliant.llm.queries import table, tokenizer_path
 
 
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's own tables go when its result is written."""
+    docs, older = table(spark, sf_dir, "documents"), folders()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        discard(spark, docs, older)
     return docs
