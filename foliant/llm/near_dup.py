@@ -21,9 +21,9 @@
 5. The bottom-k sketch of the union (k = 192 here) estimates the similarity and
    drops pairs below the threshold; what is left is confirmed on the full sets.
 
-At the threshold a pair is missed with a probability of about 3e-9 in either
-sketch (fewer than 22 of 48, or 128 of 192, values of the union are shared).
-No list is cut short.
+At the threshold a pair is missed with a probability of about 3e-9 in any
+sketch (fewer than 22 of 48, 128 of 192 or 329 of 448 values of the union are
+shared).  No list is cut short.
 
 Nulls and empty texts have no shingles and link with nothing.  Rows with a
 null id get no component and are kept.  Rows that share an id are one node:
@@ -50,6 +50,8 @@ K = 48
 SHARED = 22
 #: The same two numbers of the wide sketches that estimate the similarity of a pair.
 WIDE, WIDE_SHARED = 192, 128
+#: And of the sketches that documents of one list are compared by, pair by pair.
+LISTED, LISTED_SHARED = 448, 329
 
 
 def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
@@ -157,9 +159,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs of one list but of different components that are similar by their wide sketches.
+    """Pairs of one list but of different components that are similar by their largest sketches.
 
-    `lists`: (v, doc, n, component, s, len) with wide sketches s.  A list longer
+    `lists`: (v, doc, n, component, s, len) with sketches s of LISTED values.  A list longer
     than `block` is cut into blocks by a hash of its documents, and each pair of
     blocks is a task's work of bounded size.  What leaves a task is similar
     exactly, or by the estimate where a set is larger than its sketch.
@@ -194,7 +196,7 @@ def across(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
                 hit = []
                 for x in later:
                     m = np.intersect1d(sets[at], sets[x], assume_unique=True).size
-                    if 100 * m >= percent * (sizes[at] + sizes[x] - m) if max(sizes[at], sizes[x]) <= WIDE else m >= WIDE_SHARED:
+                    if 100 * m >= percent * (sizes[at] + sizes[x] - m) if max(sizes[at], sizes[x]) <= LISTED else m >= LISTED_SHARED:
                         hit.append(x)
                 out_a.append(np.minimum(docs[hit], docs[at]))
                 out_b.append(np.maximum(docs[hit], docs[at]))
@@ -241,7 +243,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = 5, id_col: st
     told = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     told = materialise(told, "told")
     several = told.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("len")).where("x < y").select("v", "len")
-    rest = join_unique(told.drop("len"), several, "v", "doc").join(sets.select("doc", F.slice("s", 1, WIDE).alias("s")), "doc")
+    rest = join_unique(told.drop("len"), several, "v", "doc").join(sets.select("doc", F.slice("s", 1, LISTED).alias("s")), "doc")
     more = across(rest, percent).join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = materialise(confirm(more, sets, percent), "links")
     if not more.isEmpty():
