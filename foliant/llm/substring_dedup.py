@@ -1,18 +1,27 @@
-"""Substring dedup by hashing the lines and sentences of all documents.
+"""Substring dedup by hashing the lines, sentences and word windows of all documents.
 
-A unit is a sentence inside a line: it ends with the line, after a word that
-ends a sentence, or before a capitalised word.  Units are normalised (A-Z
-lower-cased, white space collapsed, outer punctuation dropped) and digested to
-128 bits.  Digests are grouped globally; the document with the smallest id
-keeps its first occurrence and every other occurrence counts as repeated.  A
-run of neighbouring repeated units with at least `min_words` words is removed,
-so passages are found wherever they stand in a line, while short lines that
-many documents share stay.
+Words are normalised: A-Z lower-cased, outer punctuation dropped, words of
+punctuation alone skipped.  Two kinds of passages count as repeated:
+
+    units      a sentence inside a line: it ends with the line, after a word
+               that ends a sentence, or before a capitalised word
+    windows    any `min_words` words in a row, wherever they start
+
+A passage is hashed to 128 bits and hashes are grouped globally; the document
+with the smallest id keeps its first occurrence and every other occurrence is
+repeated.  A run of neighbouring repeated words with at least `min_words` words
+is removed, so every passage of that many words is found wherever it is cut,
+while short lines that many documents share stay.
+
+Not all windows are shuffled.  The smallest hash of the shorter grams inside a
+window is its anchor; equal windows have equal anchors.  Anchors (about one in
+eleven words) are grouped first, along with the units, and only windows whose
+anchor occurs twice are grouped after that.  This loses no repeated window.
 
 The result has one row for each removed run with its offsets in the original
 text (code points, end exclusive); ``cut`` removes them from the texts.
 
-Nulls: null and empty texts have no units.  Rows with a null id are left
+Nulls: null and empty texts have no words.  Rows with a null id are left
 alone.  Rows that share an id count as one document for the ranking, so one
 does not repeat the other.  An empty table gives an empty result.
 """
@@ -20,103 +29,259 @@ does not repeat the other.  An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from foliant.llm.common import SLICE, WORD, join_unique, map_rows, materialise
+from foliant.llm.common import HOT_SHARE, SLICE, WORD, join_unique, materialise
 
 _ENDS = re.compile(r"[.!?…][\"'”’)\]]*$")
 _OUTER = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
+_BARE, _CAPITAL, _END = 1, 2, 4
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_U = np.uint64
+
+
+class Words(dict):
+    """Raw word -> its row in `hashes` (two of 64 bits) and `flags`."""
+
+    def __init__(self, entries: int = 200_000):
+        self.entries = entries
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.hashes, self.flags = array("Q"), bytearray()
+
+    def __missing__(self, raw: bytes) -> int:
+        w, key = raw.decode(errors="replace"), _OUTER.sub(b"", raw.lower())
+        digest = xxhash.xxh3_128_intdigest(key)
+        self.hashes.extend((digest >> 64, digest & (2**64 - 1)))
+        self.flags.append(_BARE * (not key) | _CAPITAL * (w[0].isupper() and not w[1:2].isupper()) | _END * bool(_ENDS.search(w)))
+        self[raw] = at = len(self.flags) - 1
+        return at
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+class Texts:
+    """Hashes of a batch of texts; words are numbered through all of them, `bare` ones count in `at` only."""
+
+    def __init__(self, texts: list[str | None], words: Words, window: int):
+        if len(words.flags) > words.entries:
+            words.reset()
+        rows: list[int] = []
+        lines: list[int] = []
+        self.first = [0]
+        for text in texts:
+            for line in (text or "").encode(errors="replace").split(b"\n"):
+                lines.append(len(rows))
+                rows.extend(map(words.__getitem__, line.split()))
+            self.first.append(len(rows))
+        n, rows = len(rows), np.array(rows, np.int64)
+        flags = np.frombuffer(words.flags, np.uint8)[rows]
+        begins = np.zeros(n + 1, bool)
+        begins[lines] = True
+        begins[:n] |= (flags & _CAPITAL) > 0
+        begins[1:] |= (flags & _END) > 0
+        begins[n] = False
+        bounds = np.flatnonzero(begins)
+        #: Units: first word and the word after the last.
+        self.begin, self.end = bounds, np.append(bounds[1:], n)[: len(bounds)]
+        solid = (flags & _BARE) == 0
+        #: The place of each word that is more than punctuation, and how many stand before each word.
+        self.at, self.before = np.flatnonzero(solid), np.concatenate([[0], np.cumsum(solid)]).astype(np.int64)
+        m = len(self.at)
+        pairs = np.frombuffer(words.hashes, np.uint64).reshape(-1, 2)[rows[self.at]]
+        self.sums, self.inverse = [], []
+        for k, base in enumerate(_BASES):
+            power, inverse = np.full(m + 1, base, np.uint64), np.full(m + 1, pow(base, -1, 2**64), np.uint64)
+            power[0] = inverse[0] = 1
+            power, inverse = np.cumprod(power), np.cumprod(inverse)
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(pairs[:, k] * power[:m])]))
+            self.inverse.append(inverse)
+        self.unit = self.hashes(self.before[self.begin], self.before[self.end], 1)
+        self._anchors(window)
+
+    def hashes(self, s: np.ndarray, e: np.ndarray, kind: int) -> np.ndarray:
+        """(n, 2) signed halves of the digests of the solid words s to e."""
+        salt = (e - s).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + _U(kind)
+        return np.stack([_mix((p[e] - p[s]) * inv[s] + salt) for p, inv in zip(self.sums, self.inverse, strict=True)], axis=1).view(np.int64)
 
+    def _anchors(self, window: int) -> None:
+        """Windows of `window` solid words inside a text, and the gram that is the anchor of each."""
+        gram = max(1, min(10, window // 2))
+        m, reach = len(self.at), window - gram + 1
+        text = np.searchsorted(self.before[np.array(self.first[1:])], np.arange(m), side="right")
+        inside = text[: max(m - window + 1, 0)] == text[window - 1 :]
+        if not inside.any():
+            self.window = self.anchor = np.zeros(0, np.int64)
+            self.grams = np.zeros((0, 2), np.int64)
+            return
+        starts = np.arange(m - gram + 1)
+        self.grams = self.hashes(starts, starts + gram, 2)
+        keys, n = self.grams[:, 0], len(inside)
+        best, where = keys[:n].copy(), starts[:n].copy()
+        for k in range(1, reach):
+            less = keys[k : k + n] < best
+            best[less] = keys[k : k + n][less]
+            where[less] = starts[k : k + n][less]
+        #: First solid word of each window, and the first solid word of its anchor.
+        self.window, self.anchor = np.flatnonzero(inside), where[inside]
 
-def units(text: str | None) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, 128-bit digest) of each unit, in order of place."""
-    out = []
-    text = text or ""
+    def ranges(self) -> Iterator[tuple[slice, slice]]:
+        """For each text its units and its windows."""
+        u = np.searchsorted(self.begin, self.first)
+        w = np.searchsorted(self.window, self.before[np.array(self.first)])
+        for i in range(len(self.first) - 1):
+            yield slice(u[i], u[i + 1]), slice(w[i], w[i + 1])
 
-    def close(words: list[re.Match]) -> None:
-        if words:
-            key = b" ".join(x for m in words if (x := _OUTER.sub(b"", m[0].encode().lower())))
-            out.append((words[0].start(), words[-1].end(), len(words), xxhash.xxh3_128_intdigest(key)))
 
-    held: list[re.Match] = []
-    last = 0
-    for m in WORD.finditer(text):
-        w = m[0]
-        if held and ("\n" in text[last : m.start()] or (w[0].isupper() and not w[1:2].isupper()) or _ENDS.search(held[-1][0])):
-            close(held)
-            held = []
-        held.append(m)
-        last = m.end()
-    close(held)
-    return out
+def _column(c: pa.Array) -> Iterable:
+    """The values of a column; lists (without nulls inside) as numpy arrays."""
+    if not pa.types.is_list(c.type):
+        return c.to_pylist()
+    at, values = c.offsets.to_numpy(), c.values.to_numpy()
+    return (values[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
 
 
-_SCHEMA = T.StructType(
-    [T.StructField("doc_id", T.LongType())]
-    + [T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("starts", "ends", "words")]
-    + [T.StructField(x, T.ArrayType(T.LongType())) for x in ("h1", "h2")]
-)
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Iterable]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):  # bounds the Python objects of a task
+            yield [_column(c) for c in batch.slice(at, SLICE).columns]
 
 
-def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document with the arrays of its units."""
-    def make():
-        def one(key, text):
-            found = units(text)
-            if key is None or not found:
-                return None
-            starts, ends, words, digests = zip(*found, strict=True)
-            halves = np.array([(d >> 64, d & (2**64 - 1)) for d in digests], np.uint64).astype(np.int64)
-            return key, starts, ends, words, halves[:, 0].tolist(), halves[:, 1].tolist()
+def _arrow(out: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
 
-        return one
 
-    return map_rows(df, [F.col(id_col).cast("long"), F.col(text_col)], make, _SCHEMA)
+def _marks(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the units and anchors of each text, and whether one occurs twice in it."""
+    words = Words()
+    for keys, texts in _batches(batches):
+        made, out = Texts(texts, words, min_words), []
+        for key, (u, w) in zip(keys, made.ranges(), strict=True):
+            found = np.concatenate([made.unit[u], made.grams[np.unique(made.anchor[w])]])
+            if key is not None and len(found):
+                _, at = np.unique(found[:, 0] ^ found[:, 1], return_index=True)
+                out.append((key, found[at, 0], found[at, 1], len(at) < len(found)))
+        yield _arrow(out, {"doc_id": pa.int64(), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int64()), "own": pa.bool_()})
+
+
+def _runs_of(covered: np.ndarray) -> np.ndarray:
+    """(begin, end) of the runs of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    return edges.reshape(-1, 2)
+
+
+_PASSAGES = "doc_id long, begins array<int>, stops array<int>, starts array<int>, ends array<int>, h1 array<long>, h2 array<long>, firsts array<long>"
+
+
+def _passages(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeated units of each text, with their keepers in `firsts`, and then the windows whose anchor is repeated, with their hashes.
+
+    begins and stops count words, starts and ends characters.  Texts without
+    room for a run have no row.
+    """
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    kinds = {"doc_id": pa.int64(), "begins": ints, "stops": ints, "starts": ints, "ends": ints, "h1": longs, "h2": longs, "firsts": longs}
+    words = Words()
+    for keys, texts, *rep in _batches(batches):
+        made, out = Texts(texts, words, min_words), []
+        for i, (key, text, r1, r2, first, (u, w)) in enumerate(zip(keys, texts, *rep, made.ranges(), strict=True)):
+            zero, n = made.first[i], made.first[i + 1] - made.first[i]
+            keeper = {(x, y): k for x, y, k in zip(r1.tolist(), r2.tolist(), first.tolist(), strict=True) if k != key}
+            seen: set = set()
+            units = []
+            for at, h in enumerate(zip(*made.unit[u].T.tolist(), strict=True), u.start):
+                k = keeper.get(h, key if h in seen else None)
+                seen.add(h)
+                if k is not None:
+                    units.append((at, k))
+            at = np.array([x for x, _ in units], np.int64)
+            firsts = np.array([k for _, k in units], np.int64)
+            grams = made.grams[made.anchor[w], 0]
+            own, times = np.unique(made.grams[np.unique(made.anchor[w]), 0], return_counts=True)
+            s = made.window[w][np.isin(grams, np.concatenate([r1, own[times > 1]]))]
+            begins = np.concatenate([made.begin[at], made.at[s]]) - zero
+            stops = np.concatenate([made.end[at], made.at[s + min_words - 1] + 1]) - zero
+            covered = np.bincount(begins, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
+            runs = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(covered[:n]) > 0, [0]]))).reshape(-1, 2)
+            room = runs[runs[:, 1] - runs[:, 0] >= min_words]
+            if len(room):
+                inside = np.searchsorted(room[:, 0], begins, side="right") > np.searchsorted(room[:, 1], begins, side="right")
+                begins, stops, firsts = begins[inside], stops[inside], firsts[inside[: len(firsts)]]
+                spans = np.array([m.span() for m in WORD.finditer(text)], np.int32)
+                h = made.hashes(s, s + min_words, 3)  # windows are always inside
+                out.append((key, begins, stops, spans[begins, 0], spans[stops - 1, 1], h[:, 0], h[:, 1], firsts))
+        yield _arrow(out, kinds)
+
+
+def _removed(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of words inside repeated units and windows."""
+    kinds = dict.fromkeys(("doc_id", "start", "end", "n_words", "first_doc_id"), pa.int64())
+    for rows in _batches(batches):
+        out: list[tuple] = []
+        for key, *lists in zip(*rows, strict=True):
+            begins, stops, starts, ends, h1, h2, firsts, r1, r2, first = (x.tolist() for x in lists)
+            keeper = dict(zip(zip(r1, r2, strict=True), first, strict=True))
+            seen: dict = {}
+            for b, e, h in zip(begins[len(firsts) :], stops[len(firsts) :], zip(h1, h2, strict=True), strict=True):
+                # A window repeats its own document only where the two do not overlap.
+                firsts.append(keeper.get(h, key if seen.setdefault(h, e) <= b else None))
+            found = sorted(x for x in zip(begins, stops, starts, ends, firsts, strict=True) if x[4] is not None)
+            held: list | None = None
+            for b, e, s, c, k in [*found, (2**31, 2**31, 0, 0, None)]:
+                if held and b <= held[1]:
+                    if e > held[1]:
+                        held[1], held[3] = e, c
+                    continue
+                if held and held[1] - held[0] >= min_words:
+                    out.append((key, held[2], held[3], held[1] - held[0], held[4]))
+                held = [b, e, s, c, k]
+        yield _arrow(out, kinds)
+
+
+def _keepers(table: DataFrame, label: str) -> DataFrame:
+    """(doc_id, h, first) of every hash (h1, h2) of a document that another document has too; first is the smallest."""
+    pairs = table.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("u")).select("doc_id", "u.h1", "u.h2")
+    # A digest's ranks shrink to three numbers before they are shuffled, however often it occurs.
+    kept = pairs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    kept = materialise(kept.select(F.struct("h1", "h2").alias("h"), "first", "n"), f"kept_{label}")
+    total = kept.agg((F.sum("n") / HOT_SHARE).alias("_floor"))
+    hot = kept.where("n >= 10000").join(F.broadcast(total), F.col("n") > F.col("_floor")).select("h")
+    return join_unique(pairs.select("doc_id", F.struct("h1", "h2").alias("h")), kept.drop("n"), "h", "doc_id", hot=hot)
 
 
 def removed_runs(df: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id) of every run to remove.
 
-    first_doc_id is the document that keeps the run's first unit.
+    first_doc_id is the document that keeps the run's first passage.
     """
-    table = materialise(unit_table(df, id_col, text_col), "units")
-    pairs = table.select("doc_id", F.explode(F.array_distinct(F.arrays_zip("h1", "h2"))).alias("u")).select("doc_id", "u.h1", "u.h2")
-    # A digest's ranks shrink to two numbers before they are shuffled, however often it occurs.
-    kept = pairs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    kept = materialise(kept.select(F.struct("h1", "h2").alias("h"), "first"), "kept")
-    repeated = join_unique(pairs.select("doc_id", F.struct("h1", "h2").alias("h")), kept, "h", "doc_id").where("doc_id <> first")
-    lists = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("h.h1", "h.h2", "first")).alias("repeated"))  # at most a document's units
-    own = F.size("h1") > F.size(F.array_distinct(F.arrays_zip("h1", "h2")))  # repeats inside the document
-    joined = table.join(materialise(lists, "lists"), "doc_id", "left").where(F.col("repeated").isNotNull() | own)
-
-    def run(batches):
-        for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
-            out: list[tuple] = []
-            for key, starts, ends, words, h1, h2, rep in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                first = {(r["h1"], r["h2"]): r["first"] for r in rep or ()}
-                seen: set = set()
-                held: tuple | None = None
-                for s, e, n, *h in [*zip(starts, ends, words, h1, h2, strict=True), (0, 0, 0, None, None)]:
-                    h = tuple(h)
-                    keeper = first.get(h, key if h in seen else None)
-                    seen.add(h)
-                    if keeper is not None:
-                        held = (held[0], e, held[2] + n, held[3]) if held else (s, e, n, keeper)
-                    else:
-                        if held and held[2] >= min_words:
-                            out.append((key, *held))
-                        held = None
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "start", "end", "n_words", "first_doc_id"])
-
-    return joined.select("doc_id", "starts", "ends", "words", "h1", "h2", "repeated").mapInArrow(run, "doc_id long, start long, end long, n_words long, first_doc_id long")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    table = materialise(docs.mapInArrow(partial(_marks, min_words), "doc_id long, h1 array<long>, h2 array<long>, own boolean"), "marks")
+    # The keepers' own marks are there as well: their windows are what others are compared with.
+    marks = _keepers(table, "marks").select("doc_id", F.struct("h.h1", "h.h2", "first").alias("r"))
+    own = table.where("own").select("doc_id", F.lit(None).alias("r"))  # repeats inside the document
+    lists = materialise(marks.union(own).groupBy("doc_id").agg(F.collect_list("r").alias("r")), "lists")  # at most a document's marks
+    near = docs.join(lists, "doc_id").select("doc_id", "text", "r.h1", "r.h2", "r.first")
+    found = materialise(near.mapInArrow(partial(_passages, min_words), _PASSAGES), "passages")
+
+    windows = _keepers(found, "windows").where("doc_id <> first")
+    lists = windows.groupBy("doc_id").agg(F.collect_list(F.struct("h.h1", "h.h2", "first")).alias("r"))  # at most a document's windows
+    joined = found.join(materialise(lists, "repeated"), "doc_id", "left").select(*found.columns, *(F.col(f"r.{x}").alias(f"r_{x}") for x in ("h1", "h2", "first")))
+    return joined.mapInArrow(partial(_removed, min_words), "doc_id long, start long, end long, n_words long, first_doc_id long")
 
 
 def cut(df: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,6 +87,27 @@ def test_substring_dedup(spark):
     assert substring_dedup.removed_runs(df.limit(0)).count() == 0
 
 
+def test_passages_cut_at_arbitrary_words(spark):
+    """51 repeated words are found whole wherever they are cut, and inside one document."""
+    rng = random.Random(5)
+    word = lambda: rng.choice(["it", "The", "end.", "-", "x,", "Sea", "a"]) + str(rng.randrange(10**6)) * rng.randrange(2)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [" ".join(own(80))], {}
+    for i in range(1, 41):
+        passage = [word() + own(1)[0] for _ in range(51 if i % 4 else 29)]
+        texts.append(" ".join(own(rng.randrange(1, 40)) + passage + own(rng.randrange(1, 40))))
+        if i % 4:
+            want[len(texts)] = " ".join(passage)
+        texts.append(" ".join(own(rng.randrange(1, 40)) + passage + own(rng.randrange(1, 40))))
+    twice = own(40)
+    texts += [" ".join(twice + own(3) + twice), "tick " * 100]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], h.DOCS)
+    runs = substring_dedup.removed_runs(df).collect()
+    found = {r.doc_id: texts[r.doc_id][r.start : r.end] for r in runs}
+    assert len(runs) == len(found) and found.pop(81) == " ".join(twice) and found.pop(82).split() == ["tick"] * 70
+    assert found == want and all(r.first_doc_id == r.doc_id - 1 and r.n_words == 51 for r in runs if r.doc_id < 81)
+
+
 # 3
 
 
