@@ -46,10 +46,11 @@ BASE = {
 LOOSE = {
     "card": r"(?<![0-9.])[0-9]{13,19}+(?![0-9])",
     "phone": r"(?<![0-9+)\x20-])(?<![0-9][\x20-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z_/+-]{0,200}[0-9])(?=[0-9_/+-]{0,200}[A-Za-z])[A-Za-z0-9_/+-]{20,200}+(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{20,}+",
 }
 #: A text without these has no candidate of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+LOOSE_NEEDS = {"card": "[0-9]{13}", "phone": "[0-9]{3}", "secret": "[0-9]"}
 CUES = {
     "email": r"(?i)(mail|contact|write|from|to)\W*$",
     "ip": r"(?i)(\bip|host|server|address|addr|from)\W*$",
@@ -160,7 +161,7 @@ def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.concat(*(coded(k, F.col(f"_b_{k}"), True) for k in KINDS))
     df = df.withColumn("base", base).drop(*cols)
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    loose = F.concat(*(coded(k, F.when(text.rlike(r"[0-9]{3}"), apart(spans(text, LOOSE[k]), F.col("base"))).otherwise(none), False) for k in EXTRA))
+    loose = F.concat(*(coded(k, F.when(text.rlike(LOOSE_NEEDS[k]), apart(spans(text, LOOSE[k]), F.col("base"))).otherwise(none), False) for k in EXTRA))
     return df.withColumn("more", loose).drop("_pii")
 
 

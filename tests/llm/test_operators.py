@@ -276,6 +276,15 @@ def test_redaction(spark):
     assert got[0] == "é mail <email> now, <phone>." and got[1] is None and got[2] == "clean" and got[3] == 'token = "<secret>"'
 
 
+def test_secret_candidates(spark):
+    """A key is a candidate whatever else the text holds, and whatever its length."""
+    keys = ["sk_live_aB3dE5fG7hJ9kL2mN4", "sk_live_aB3dE5fG7hJ9kL2mN4", "eyJ" + "aB3d" * 300, "x" * 250 + "1", "1" * 250 + "x"]
+    texts = [f"the key {k} is here" + " in 2024" * (i == 1) for i, k in enumerate(keys)] + ["z" * 300, "no key", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.more if x.kind == "secret"] for r in pii.candidates(df).collect()}
+    assert got == {i: [("secret", 8, 8 + len(keys[i]))] if i < len(keys) else [] for i in range(len(texts))}
+
+
 def test_reliabilities():
     model = pii.train({"card:y-yy-2": 50, "card:--yy-2": 30, "card:--nn-2": 40, "secret:-y-yy5": 20, "secret:---nn2": 60})
     assert "card:--yy-2" in model.accepted and "card:--nn-2" not in model.accepted and "secret:---nn2" not in model.accepted
