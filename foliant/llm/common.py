@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +22,21 @@ WORD = re.compile(WORD_PATTERN)
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 500
 
-#: A key is hot when it holds more than 1/HOT_SHARE of a table's rows, so no
-#: table can have more than HOT_SHARE hot keys, whatever its size.
-HOT_SHARE = 2000
+#: A key is hot when it holds more than 1/HOT_SHARE of a table's rows (and HOT_LEAST rows), so
+#: no table can have more than HOT_SHARE hot keys, whatever its size.
+HOT_SHARE, HOT_LEAST = 20_000, 1000
 
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the one that all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where it is unset, as
-    in tests, a temporary local folder takes its place.
+    ``spark.checkpoint.dir`` names it on a cluster, and has to.  Only in local
+    mode, as in tests, a temporary folder takes its place where it is unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, ignore_errors=True)
@@ -98,30 +101,49 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE, least: int = 10_000) -> DataFrame:
-    """The keys that hold more than 1/share of df's rows (and `least` rows), at most `share` of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    total = df.agg((F.count(F.lit(1)) / share).alias("_floor"))
-    return counts.join(F.broadcast(total), F.col("_n") > F.col("_floor")).select(key)
+def list_values(column: pa.Array) -> Iterator[np.ndarray]:
+    """The values of a list column (without nulls inside) as numpy arrays, without copies."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return (values[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
 
 
-def join_unique(big: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", least: int = 10_000, salts: int = 64, hot: DataFrame | None = None) -> DataFrame:
+def hot_floor(total: float, least: int = HOT_LEAST) -> int:
+    """A key with more rows than this is hot in a table of `total` rows."""
+    return max(least, int(total) // HOT_SHARE)
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, least: int = HOT_LEAST) -> list[tuple]:
+    """(key, tasks) of the hot keys among `counts`, which has one row a key; at most HOT_SHARE of them."""
+    floor = hot_floor(counts.agg(F.sum(n)).first()[0] or 0, least)
+    return [(r[0], -(-r[1] // floor)) for r in counts.where(F.col(n) > floor).select(key, n).collect()]
+
+
+def join_unique(big: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", least: int = HOT_LEAST, counts: DataFrame | None = None) -> DataFrame:
     """big join unique on key, where unique has one row (or few) a key and big may have hot keys.
 
-    The list of hot keys is bounded by HOT_SHARE, so it is gathered and broadcast.  Their rows in
-    `big` are dealt over `salts` tasks by a hash of `spread`, and only their
-    rows in `unique` are repeated as often.  A caller that has counted the keys
-    already gives `hot` itself.
+    The list of hot keys is bounded by HOT_SHARE, so it is gathered and broadcast.  Rows of a hot
+    key in `big` are dealt by a hash of `spread` over as many tasks as its count asks for, and only
+    its rows in `unique` are repeated as often.  A caller that has written the rows a key already
+    gives them as `counts` (key, n).  Columns of other names are kept, whatever they are called.
     """
-    found = hot_keys(big, key, least=least) if hot is None else hot
-    rows = found.collect()  # at most HOT_SHARE keys
-    if not rows:
+    hot = hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts, key, "n", least)
+    if not hot:
         return big.join(unique, key, how)
-    hot = F.broadcast(big.sparkSession.createDataFrame(rows, found.schema).withColumn("_hot", F.lit(True)))
-    dealt = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = unique.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+    salt, tasks = (fresh(x, big, unique) for x in ("_salt", "_tasks"))
+    listed = F.broadcast(big.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, big.schema[key].dataType), T.StructField(tasks, T.IntegerType())])))
+    nulls = next((n for k, n in hot if k is None), 1)  # they match nothing, but are rows of the result too
+    shares = F.when(F.col(key).isNull(), nulls).otherwise(F.coalesce(tasks, F.lit(1)))
+    dealt = big.join(listed, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), shares).cast("int")).drop(tasks)
+    repeated = unique.join(listed, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(tasks, F.lit(1)) - 1))).drop(tasks)
+    return dealt.join(repeated, [key, salt], how).drop(salt)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """`name`, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 500_000) -> DataFrame:

@@ -1,39 +1,46 @@
 """Near-duplicate detection with bottom-k sketches.
 
 1. Every text becomes its set of distinct word shingles, hashed once to 63 bits.
-   Of the set only its size, a digest and its k smallest hashes (the bottom-k
-   sketch) are kept.  Texts with equal digests form a class, and one document
-   stands for it from here on.
-2. Inverted lists of the retained values tell which documents can have a
-   partner: two sets with a similarity of at least `percent` share at least
-   SHARED retained values, so most documents, whose values are their own, drop
-   out here.
-3. Of the others the whole sets are kept, and listed by their rarest values
-   only: similar sets share one among the n - ceil(percent * n) + 1 rarest of
-   each (prefix filter).  Passages that many documents share, and what a large
-   group of edited copies has in common, stay out of the lists this way.
-4. Overlaps: first every document of a list meets the first document of about
-   its size there (one pair a row, however large the list), and confirmed pairs
-   join into components.  Then, in lists that still span several components,
-   documents of different components meet; long lists are cut into blocks, and
-   pairs of blocks are compared apart.  Inside a component no further link can
-   change the result.
-5. The bottom-k sketch of the union (k = 192 here) estimates the similarity and
-   drops pairs below the threshold; what is left is confirmed on the full sets.
-
-At the threshold a pair is missed with a probability of about 3e-9 in any
-sketch (fewer than 22 of 48, 128 of 192 or 329 of 448 values of the union are
-shared).  No list is cut short.
+   Of the set its size, a digest and its k smallest hashes (the bottom-k sketch)
+   are kept.  Texts with equal digests form a class, and one document stands
+   for it from here on.
+2. Inverted lists of the retained values tell how many values of a sketch other
+   sketches have too.  Two sets with the wanted similarity share at least
+   ``least_hits`` of them, so most documents drop out here.
+3. Of the others the whole sets are kept.  A set with too many values that no
+   other one has cannot reach the similarity and drops out as well.
+4. The inverted lists of what is left generate the overlaps.  A document is
+   listed by the rarest values of its sketch, just so many that two similar
+   documents meet; what a great many documents share lists nobody.
+5. In each list every document meets one hub, the document with the fewest
+   values of its own: one pair a row, however long the list.  The bottom-k
+   sketch of the union estimates the similarity and drops most false pairs, the
+   full sets confirm the others, and links join documents into components.
+6. Lists that still span several components chain into clusters, and inside a
+   cluster the remaining pairs are compared on their full sets by ``spanning``:
+   only documents outside the cluster's largest component ask, as a pair of
+   different components has one of them.  Clusters are cut into cells of a
+   bounded number of documents and values, and a cell gives at most one link for
+   each component that it joins, never the pairs of a group.
+
+With sketches a link is missed with a probability of LOSS at most for sets
+exactly at the threshold (less above it).  ``exact=True`` retains whole sets and
+estimates nothing: it misses nothing and moves every shingle.  No list, group
+or cell is cut short on either way.
 
 Nulls and empty texts have no shingles and link with nothing.  Rows with a
 null id get no component and are kept.  Rows that share an id are one node:
-they get the same component.  An empty table gives an empty result.
+they get the same component.  Repeated rows and ties have equal digests, and
+the smallest id wins.  An empty table gives an empty result.  Other columns of
+the input are ignored, whatever they are called.  A text of any length is one
+row of its shingles' hashes (8 bytes each), so it has to fit a task.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -43,15 +50,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import HOT_SHARE, components, join_ids, join_unique, map_rows, materialise
+from foliant.llm.common import components, join_ids, join_unique, list_values, map_rows, materialise
 
-K = 48
-#: Retained values that two similar sets share at least (see the module's note on missed pairs).
-SHARED = 22
-#: The same two numbers of the wide sketches that estimate the similarity of a pair.
-WIDE, WIDE_SHARED = 192, 128
-#: And of the sketches that documents of one list are compared by, pair by pair.
-LISTED, LISTED_SHARED = 448, 329
+#: The probability of losing a link at the threshold, in each place that estimates.
+LOSS = 3e-9
+#: Values that the estimate of a pair reads of each set.
+WIDE = 192
+
+
+def least_hits(k: int, percent: int) -> int:
+    """The number of common values that k values of a union have at least, but for LOSS, at `percent` similarity."""
+    p, tail = percent / 100, 0.0
+    for hits in range(k + 1):
+        tail += math.comb(k, hits) * p**hits * (1 - p) ** (k - hits)
+        if tail > LOSS:
+            return hits
+    return k
+
+
+def sketch_size(percent: int) -> int:
+    """Values to retain of a set: 48, or more where few of them are common."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    return max(48, math.ceil(40 / (percent / 100)))
 
 
 def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
@@ -70,38 +91,42 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique((out >> np.uint64(1)).astype(np.int64))
 
 
-def sketches(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, digest, sketch) of every row; the digest is null without shingles."""
+def sketches(df: DataFrame, k: int | None, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, digest, sketch) of every row; the digest is null without shingles, k None retains all."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def make():
         def one(key, text):
             h = shingle_hashes(text, width)
-            return key, len(h), blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None, h[:K].tolist()
+            return key, len(h), blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None, h[:k].tolist()
 
         return one
 
     return map_rows(df, [F.col(id_col).cast("long"), F.col(text_col)], make, schema)
 
 
-def least_shared(n: Column, percent: int) -> Column:
-    """Values that the sketch of a set of n surely (or, for large n, all but surely) shares with a similar set's."""
-    full = K * percent // 100  # a partner of a set this small is kept whole as well
-    return F.when(n <= full, F.ceil(n * percent / 100)).otherwise(F.lit(SHARED)).cast("int")
+def least_shared(n: Column, k: int | None, percent: int) -> Column:
+    """Retained values that a set of n shares at least with a similar one."""
+    exact = F.ceil(n * percent / 100).cast("int")
+    # A partner of a set this small is retained whole as well.
+    return exact if k is None else F.when(n <= k * percent // 100, exact).otherwise(F.lit(least_hits(k, percent)))
 
 
-def shared_values(postings: DataFrame, rows: int) -> DataFrame:
-    """postings (doc, n, v) with `len`, the documents that have v too; values of one document are left out."""
-    lists = materialise(postings.groupBy("v").agg(F.count(F.lit(1)).alias("len")).where("len > 1"), "lists")
-    hot = lists.where(F.col("len") > max(10_000, rows // HOT_SHARE)).select("v")
-    return join_unique(postings, lists, "v", "doc", hot=hot)
+def with_own(sets: DataFrame, values: str, several: DataFrame) -> DataFrame:
+    """sets with `own`, the number of values that no other row has; 0 for documents of `several` texts.
+
+    Lists of one document name it at once, so no list is joined back.
+    """
+    postings = sets.select(F.explode(values).alias("v"), "doc")
+    own = postings.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("doc")).where("m = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("own"))
+    return sets.join(own.join(several, "doc", "left_anti"), "doc", "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
 
-def with_partners(reps: DataFrame, percent: int) -> DataFrame:
+def with_partners(reps: DataFrame, several: DataFrame, k: int | None, percent: int) -> DataFrame:
     """Ids of the documents whose sketch shares enough values with other sketches."""
-    postings = reps.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("v"))
-    found = shared_values(postings, K * reps.count()).groupBy("doc", "n").agg(F.count(F.lit(1)).alias("m"))
-    return found.where(F.col("m") >= least_shared(F.col("n"), percent)).select(F.col("doc").alias("id")).distinct()
+    shared = F.size("sketch") - F.col("own")
+    found = with_own(reps.withColumnRenamed("doc_id", "doc"), "sketch", several)
+    return found.where(shared >= least_shared(F.col("n"), k, percent)).select(F.col("doc").alias("id")).distinct()
 
 
 def whole_sets(df: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -119,20 +144,28 @@ def whole_sets(df: DataFrame, ids: DataFrame, width: int, id_col: str, text_col:
     return map_rows(join_ids(texts, ids, "id", "left_semi"), ["id", "t"], make, schema)
 
 
-def index(sets: DataFrame, percent: int) -> DataFrame:
-    """(v, doc, n, len): each document under the rarest values of its set, as far as other sets have them."""
-    postings = sets.select("doc", "n", F.explode("s").alias("v"))
-    size = sets.agg(F.sum("n")).first()[0] or 0
-    own = shared_values(postings, size).groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("len", "v"))).alias("vs"))  # at most a document's shingles
-    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("vs"))).cast("int")  # values of its own come first
-    return own.where(prefix > 0).select("doc", "n", F.explode(F.slice("vs", F.lit(1), prefix)).alias("x")).select("x.v", "doc", "n", "x.len")
+def linkable(sets: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """The sets (doc, n, own, s) but for those with too many values of their own to reach the similarity."""
+    return with_own(sets, "s", several).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("doc", "n", "own", "s")
+
+
+def inverted_lists(sets: DataFrame, k: int | None, percent: int) -> DataFrame:
+    """(v, doc, n, own): each document under the rarest retained values of its set, as far as other sets have them."""
+    kept = F.col("s") if k is None else F.slice("s", 1, k)
+    postings = sets.select("doc", "n", "own", F.size(kept).alias("k"), F.explode(kept).alias("v"))
+    counts = materialise(postings.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    listed = join_unique(postings, counts.withColumnRenamed("n", "len"), "v", "doc", counts=counts)
+    rare = listed.groupBy("doc", "n", "own", "k").agg(F.sort_array(F.collect_list(F.struct("len", "v"))).alias("vs"))  # at most the retained values
+    # k values, the least m of them shared: two similar documents meet in their k - m + 1 rarest.  Values of its own come first.
+    reach = F.col("k") - least_shared(F.col("n"), k, percent) + 1 - (F.col("k") - F.size("vs"))
+    return rare.where(reach > 0).select("doc", "n", "own", F.explode(F.slice("vs", F.lit(1), reach.cast("int"))).alias("x")).select("x.v", "doc", "n", "own")
 
 
 def similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, estimate: bool = True) -> DataFrame:
     """The pairs (a, b) that the sketch of the union leaves and whose full sets have the similarity.
 
     Wide sketches are whole sets for most short texts; only pairs of longer
@@ -149,110 +182,143 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = sets.select("doc", "n")
     near = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
     near = materialise(near.where(similar_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "pairs")
+    whole = F.col("s")
+    if not estimate:
+        return join_unique(join_unique(near, side("b", whole), "b", "a"), side("a", whole), "a", "b").where(exact()).select("a", "b").distinct()
     wide = F.slice("s", 1, WIDE)
     both = join_unique(join_unique(near, side("b", wide), "b", "a"), side("a", wide), "a", "b")
-    whole = F.greatest("na", "nb") <= WIDE
+    short = F.greatest("na", "nb") <= WIDE
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.slice(F.sort_array(F.array_union("sa", "sb")), 1, WIDE)))
-    left = materialise(both.where(F.when(whole, exact()).otherwise(shared >= WIDE_SHARED)).select("a", "b", whole.alias("done")).distinct(), "left")
-    long = join_unique(join_unique(left.where("not done").select("a", "b"), side("b", F.col("s")), "b", "a"), side("a", F.col("s")), "a", "b")
+    left = materialise(both.where(F.when(short, exact()).otherwise(shared >= least_hits(WIDE, percent))).select("a", "b", short.alias("done")).distinct(), "left")
+    long = join_unique(join_unique(left.where("not done").select("a", "b"), side("b", whole), "b", "a"), side("a", whole), "a", "b")
     return left.where("done").select("a", "b").union(long.where(exact()).select("a", "b")).distinct()
 
 
-def across(lists: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs of one list but of different components that are similar by their largest sketches.
+def cells(members: DataFrame, docs: int, values: int) -> DataFrame:
+    """members (cluster, doc, n, component) dealt into cells (cluster, i, j), with the parts a document plays there.
 
-    `lists`: (v, doc, n, component, s, len) with sketches s of LISTED values.  A list longer
-    than `block` is cut into blocks by a hash of its documents, and each pair of
-    blocks is a task's work of bounded size.  What leaves a task is similar
-    exactly, or by the estimate where a set is larger than its sketch.
+    Documents outside a cluster's largest component ask, all of them answer.
+    Askers are cut into blocks i and answerers into blocks j by a hash, so that a
+    block has about `docs` documents and `values` values; each pair of an asker
+    and an answerer meets in one cell.
     """
-    blocks = F.ceil(F.col("len") / block).cast("int")
-    mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    cells = lists.withColumn("mine", mine).withColumn("other", F.explode(others)).select("v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("own"), "doc", "n", "component", "s")
+    sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    top = sizes.groupBy("cluster").agg(F.max(F.struct("m", "t", "component")).alias("top"), F.sum("m").alias("m"), F.sum("t").alias("t"))
+    blocks = lambda m, t: F.greatest(F.ceil(m / docs), F.ceil(t / values), F.lit(1)).cast("int")
+    dealt = top.select("cluster", F.col("m").alias("n"), F.col("top.component").alias("most"), blocks(F.col("m") - F.col("top.m"), F.col("t") - F.col("top.t")).alias("rows"), blocks(F.col("m"), F.col("t")).alias("cols"))
+    dealt = materialise(dealt, "blocks")
+    told = join_unique(members, dealt.drop("n"), "cluster", "doc", counts=dealt)
+    at = F.xxhash64("doc", F.lit(1))
+    told = told.withColumn("asker", F.col("component") != F.col("most")).withColumn("row", F.pmod(at, "rows").cast("int")).withColumn("col", F.pmod(at, "cols").cast("int"))
+    answers = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("col").alias("j"), (F.col("asker") & (i == F.col("row"))).alias("asks"), F.lit(True).alias("answers")))
+    asks = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(F.col("row").alias("i"), j.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("answers")))
+    asks = F.when(F.col("asker"), F.filter(asks, lambda x: x["j"] != F.col("col"))).otherwise(F.slice(asks, 1, 0))
+    return told.select("cluster", "component", "doc", "n", F.explode(F.concat(answers, asks)).alias("x")).select("cluster", "x.i", "x.j", "x.asks", "x.answers", "component", "doc", "n")
+
+
+def cell_links(percent: int, component: np.ndarray, asks: np.ndarray, answers: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of components of a cell that similar sets join: a spanning forest of them."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids, ends = ids.astype(np.int32), np.cumsum(sizes)
+    common = np.bincount(ids, minlength=len(values))[ids] > 1  # nobody else has the others
+    before = np.concatenate([[0], np.cumsum(common)])
+    begins, ends = before[ends - sizes], before[ends]
+    ids = ids[common]
+    able = 100 * (ends - begins) >= percent * sizes
+    answer = np.flatnonzero(answers & able)
+    flat = np.concatenate([ids[begins[i] : ends[i]] for i in answer]) if len(answer) else ids[:0]
+    stops = np.cumsum(ends[answer] - begins[answer])
+    starts = stops - (ends[answer] - begins[answer])
+    label, mark, out = component.copy(), np.zeros(len(values), bool), []
+    for a in np.flatnonzero(asks & able):
+        n = sizes[answer]
+        todo = (label[answer] != label[a]) & (100 * np.minimum(n, sizes[a]) >= percent * np.maximum(n, sizes[a]))
+        if not todo.any():
+            continue
+        mine = ids[begins[a] : ends[a]]
+        mark[mine] = True
+        total = np.concatenate([[0], np.cumsum(mark[flat], dtype=np.int64)])
+        mark[mine] = False
+        shared = total[stops] - total[starts]
+        for b in answer[todo & (100 * shared >= percent * (n + sizes[a] - shared))]:
+            if label[b] != label[a]:
+                out.append((int(component[a]), int(component[b])))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def spanning(members: DataFrame, sets: DataFrame, percent: int, docs: int = 1024, values: int = 2_000_000) -> DataFrame:
+    """(a, b): links between the components of each cluster, at most one for each component in a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         cell = None
 
-        def pairs():
-            rows = held
-            docs, sizes, comps, own = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6, 3))
-            sets = [np.array(r[7], np.int64) for r in rows]
-            sketch = np.full((len(rows), K), -1, np.int64)
-            for at, x in enumerate(sets):
-                sketch[at, : min(len(x), K)] = x[:K]
-            out_a, out_b = [], []
-            for at in range(len(rows) - 1):
-                later = np.arange(at + 1, len(rows))
-                fits = (comps[later] != comps[at]) & (100 * np.minimum(sizes[later], sizes[at]) >= percent * np.maximum(sizes[later], sizes[at]))
-                if cell[1] != cell[2]:
-                    fits &= own[later] != own[at]
-                later = later[fits]
-                if not len(later):
-                    continue
-                overlap = np.isin(sketch[later], sets[at][:K]).sum(axis=1)
-                later = later[overlap >= np.minimum(SHARED, np.ceil(sizes[later] * percent / 100))]
-                hit = []
-                for x in later:
-                    m = np.intersect1d(sets[at], sets[x], assume_unique=True).size
-                    if 100 * m >= percent * (sizes[at] + sizes[x] - m) if max(sizes[at], sizes[x]) <= LISTED else m >= LISTED_SHARED:
-                        hit.append(x)
-                out_a.append(np.minimum(docs[hit], docs[at]))
-                out_b.append(np.maximum(docs[hit], docs[at]))
-            if out_a:
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def links() -> pa.RecordBatch:
+            asks, answers, component, sets = zip(*held, strict=True)
+            found = cell_links(percent, np.array(component, np.int64), np.array(asks), np.array(answers), list(sets))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != cell:
+            names = [batch.column(i).to_pylist() for i in range(6)]
+            for *key, asks, answers, component, s in zip(*names, list_values(batch.column(6)), strict=True):
+                if key != cell:
                     if held:
-                        yield from pairs()
-                    held, cell = [], row[:3]
-                held.append(row)
+                        yield links()
+                    held, cell = [], key
+                held.append((asks, answers, component, s.copy()))
         if held:
-            yield from pairs()
+            yield links()
 
-    return cells.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    dealt = cells(members, docs, values).join(sets.select("doc", "n", "s"), ["doc", "n"]).select("cluster", "i", "j", "asks", "answers", "component", "s")
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; sets are linked from `percent` similarity on."""
-    rows = materialise(sketches(df, width, id_col, text_col), "sketches")
+    k = None if exact else sketch_size(percent)
+    rows = materialise(sketches(df, k, width, id_col, text_col), "sketches")
     with_set = rows.where("digest is not null and doc_id is not null")
     classes = materialise(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = with_set.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest"])
     reps = materialise(reps.select("doc_id", "n", "sketch"), "reps")
-    ids = materialise(with_partners(reps, percent), "ids")
+    shared_ids = with_set.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
+    several = materialise(shared_ids.select(F.col("doc_id").alias("doc")), "several")
+    ids = materialise(with_partners(reps, several, k, percent), "ids")
     sets = materialise(whole_sets(df, ids, width, id_col, text_col), "sets")
-    lists = materialise(index(sets, percent), "lists")
+    if sets.count() > ids.count():  # rows that share an id
+        sets = materialise(sets.distinct(), "sets")
+    sets = materialise(linkable(sets, several, percent), "linkable")
+    lists = materialise(inverted_lists(sets, k, percent), "lists")
 
-    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100))
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(min(percent, 99) / 100))
     banded = lists.withColumn("list", F.xxhash64("v", band))
-    firsts = banded.groupBy("list").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    met = materialise(join_unique(banded.select("list", F.col("doc").alias("b")), firsts, "list", "b").where("a <> b").select("a", "b").distinct(), "met")
-    links = confirm(met, sets, percent)
+    hubs = materialise(banded.groupBy("list").agg(F.min(F.struct("own", "doc")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    met = join_unique(banded.select("list", F.col("doc").alias("b")), hubs.select("list", F.col("hub.doc").alias("a")), "list", "b", counts=hubs.select("list", "n"))
+    links = confirm(met.where("a <> b").select("a", "b").distinct(), sets, percent, not exact)
     # Rows that share an id but not a text tie their classes together.
-    shared_ids = with_set.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    ties = with_set.join(shared_ids, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = materialise(links.union(ties).where("a <> b"), "links")
-    labels = components(links)
-
-    told = lists.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    told = materialise(told, "told")
-    several = told.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("len")).where("x < y").select("v", "len")
-    rest = join_unique(told.drop("len"), several, "v", "doc").join(sets.select("doc", F.slice("s", 1, LISTED).alias("s")), "doc")
-    more = across(rest, percent).join(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(confirm(more, sets, percent), "links")
+    ties = with_set.join(several.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = components(links.union(ties).where("a <> b"))
+
+    told = materialise(lists.select("v", "doc").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "told")
+    several = told.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("x < y")
+    several = materialise(several.select("v", "first", "n"), "several")
+    open_ = materialise(join_unique(told, several.select("v", "first"), "v", "doc", counts=several.select("v", "n")), "open")
+    clusters = components(open_.select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    # A list that spans several components has two documents at least, so all of its documents are nodes.
+    members = open_.select("doc", "component").distinct().join(clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc")
+    members = materialise(members.join(sets.select("doc", "n"), "doc").distinct(), "members")
+    more = components(spanning(members, sets, percent))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        to = more.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        moved = join_unique(labels, to, "component", "node", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        labels = materialise(moved.union(more.join(labels.select("node"), "node", "left_anti").select("node", "component")), "labels")
 
     # Only classes that are linked or have copies need a lookup.
     linked = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
-    linked = linked.select("digest", F.coalesce("component", "rep").alias("component"))
-    out = join_unique(rows.select("doc_id", "n", "digest"), linked, "digest", "doc_id", "left")
+    linked = materialise(linked.select("digest", F.coalesce("component", "rep").alias("component"), "copies"), "linked")
+    out = join_unique(rows.select("doc_id", "n", "digest"), linked.drop("copies"), "digest", "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import HOT_SHARE, SLICE, WORD, join_unique, materialise
+from foliant.llm.common import SLICE, WORD, join_unique, list_values, materialise
 
 _ENDS = re.compile(r"[.!?…][\"'”’)\]]*$")
 _OUTER = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
@@ -148,11 +148,8 @@ class Texts:
 
 
 def _column(c: pa.Array) -> Iterable:
-    """The values of a column; lists (without nulls inside) as numpy arrays."""
-    if not pa.types.is_list(c.type):
-        return c.to_pylist()
-    at, values = c.offsets.to_numpy(), c.values.to_numpy()
-    return (values[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
+    """The values of a column; lists as numpy arrays."""
+    return list_values(c) if pa.types.is_list(c.type) else c.to_pylist()
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Iterable]]:
@@ -259,9 +256,7 @@ def _keepers(table: DataFrame, label: str) -> DataFrame:
     # A digest's ranks shrink to three numbers before they are shuffled, however often it occurs.
     kept = pairs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
     kept = materialise(kept.select(F.struct("h1", "h2").alias("h"), "first", "n"), f"kept_{label}")
-    total = kept.agg((F.sum("n") / HOT_SHARE).alias("_floor"))
-    hot = kept.where("n >= 10000").join(F.broadcast(total), F.col("n") > F.col("_floor")).select("h")
-    return join_unique(pairs.select("doc_id", F.struct("h1", "h2").alias("h")), kept.drop("n"), "h", "doc_id", hot=hot)
+    return join_unique(pairs.select("doc_id", F.struct("h1", "h2").alias("h")), kept.drop("n"), "h", "doc_id", counts=kept.select("h", "n"))
 
 
 def removed_runs(df: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -305,20 +305,65 @@ def test_near_duplicates(spark, rows, docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_with_blocks(spark, rows, docs):
-    """Cross-component pairs of long lists, cut into blocks."""
-    rng = random.Random(8)
-    base = h.words(rng, 100)
-    made = []
-    for i in range(40):
-        w = list(base)
-        for _ in range(i % 5):
+@pytest.mark.parametrize(("percent", "exact"), [(50, False), (70, False), (95, False), (85, True), (40, True)])
+def test_near_duplicates_at_other_thresholds(spark, percent, exact):
+    """Chains of edits link by any threshold, with sketches or whole sets."""
+    rng, rows = random.Random(percent), []
+    for _ in range(12):
+        w = h.words(rng, rng.choice((8, 60, 400)))
+        for _ in range(5):
+            rows.append((len(rows), " ".join(w), "en", "s", 0))
+            for _ in range(rng.randint(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(999)}"
+    got = near_dup.near_duplicates(h.frame(spark, rows), percent=percent, exact=exact).collect()
+    assert {r.doc_id: r.component_id for r in got} == h.components(rows, percent)
+
+
+def edited(seed=8, n=60):
+    """Documents of three groups that share a passage, edited alike or not."""
+    rng, out = random.Random(seed), {}
+    common = h.words(rng, 30)
+    bases = [h.words(rng, 100) + common for _ in range(3)]
+    for i in range(n):
+        w = list(bases[i % 3])
+        for _ in range(i % 7):
             w[rng.randrange(100)] = f"e{rng.randrange(9)}"
-        made.append((i, [hash(x) & (2**62 - 1) for x in h.shingles(" ".join(w))]))
-    table = spark.createDataFrame([(1, i, len(s), i, sorted(s), 40) for i, s in made], "v long, doc long, n long, component long, s array<long>, len long")
-    got = {(r.a, r.b) for r in near_dup.across(table, 85, block=7).collect()}
-    sets = {i: set(s) for i, s in made}
-    assert got == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+        out[i] = np.array(sorted({hash(x) & (2**62 - 1) for x in h.shingles(" ".join(w))}), np.int64)
+    return out
+
+
+def forest(links, nodes):
+    """Node -> smallest node that the links reach."""
+    label = {x: x for x in nodes}
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = {x: low if y == high else y for x, y in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("docs", [5, 13, 500])
+def test_cells_join_what_pairs_join(spark, docs):
+    """A cluster cut into cells of any size joins the components that all pairs join, by few links."""
+    sets = edited()
+    # Groups of one base start as one component, but for every fourth document.
+    component = {i: i if i % 4 == 0 else min(x for x in sets if x % 3 == i % 3 and x % 4) for i in sets}
+    members = spark.createDataFrame([(1, i, len(s), component[i]) for i, s in sets.items()], "cluster long, doc long, n long, component long")
+    table = spark.createDataFrame([(i, len(s), s.tolist()) for i, s in sets.items()], "doc long, n long, s array<long>")
+    got = [(r.a, r.b) for r in near_dup.spanning(members, table, 85, docs=docs).collect()]
+    want = [(component[a], component[b]) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    nodes = set(component.values())
+    assert forest(got, nodes) == forest(want, nodes)
+    blocks = -(-len(sets) // docs)
+    assert len(got) <= blocks * blocks * (len(nodes) - 1)
+
+
+def test_documents_of_several_texts_are_one_node(spark):
+    rng = random.Random(12)
+    x, y = h.words(rng, 60), h.words(rng, 60)
+    near = lambda w, e: " ".join([*w[:-1], e])
+    rows = [(1, near(x, "a")), (7, near(x, "b")), (7, near(y, "c")), (9, near(y, "d")), (9, near(y, "d")), (4, "another text of its own entirely")]
+    got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(h.frame(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()}
+    assert got == {(1, 1), (7, 1), (9, 1), (4, 4)}
 
 
 def test_components(spark):
