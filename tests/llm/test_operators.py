@@ -32,7 +32,7 @@ def empty(spark):
 
 def clash(df):
     """df with extra columns that are named like results."""
-    return df.withColumns({c: F.lit("x") for c in ("n", "n_words", "start", "kept", "a", "b", "v", "h", "score", "base", "spans", "rank", "component_id", "_salt")})
+    return df.withColumns({c: F.lit("x") for c in ("n", "n_words", "start", "kept", "a", "b", "v", "h", "score", "base", "spans", "rank", "component_id", "_salt", "_runs", "_found", "_statistics", "more", "found", "hot", "x", "s", "doc", "digest", "item_id")})
 
 
 # 1
@@ -82,7 +82,9 @@ def test_substring_dedup(spark):
     text = dict(rows)
     for r in runs:
         assert text[r.doc_id][r.start : r.end].split()[-1] == passage.split()[-1] and r.n_words >= 48
-    cut = {r.doc_id: r.text for r in substring_dedup.cut(df, substring_dedup.removed_runs(df)).collect()}
+    left = substring_dedup.cut(clash(df), substring_dedup.removed_runs(df))
+    assert left.columns == clash(df).columns and {r._runs for r in left.collect()} == {"x"}
+    cut = {r.doc_id: r.text for r in left.collect()}
     assert cut[3] == first and passage[-40:] not in cut[7] and cut[8] is None and cut[2] == "Short line." and len(cut) == len(rows)
     assert substring_dedup.removed_runs(df.limit(0)).count() == 0
 
@@ -122,13 +124,55 @@ def test_decontamination(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, same, "en", "s", 0)], h.DOCS)
     bench = spark.createDataFrame([(1, "I know that " + q + "."), (2, "too short"), (3, None)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contaminated(clash(docs), bench).collect()}
-    assert set(got) == {0, 1, len(texts) - 1, None} and all(r.item_id == 1 for r in got.values())
+    # The twisted one is found too: one value in 19 words is all that is inconsistent.
+    assert set(got) == {0, 1, 2, len(texts) - 1, None} and all(r.item_id == 1 for r in got.values())
     assert got[0].verbatim and not got[1].verbatim and got[1].n_slots >= 3
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert {r.doc_id for r in kept.collect()} >= {2, 3, 4} and kept.where("doc_id in (0, 1)").count() == 0
+    assert {r.doc_id for r in kept.collect()} >= {3, 4, 5} and kept.where("doc_id in (0, 1, 2)").count() == 0
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+LEAKS = [
+    ("Maria has 12 apples and buys 30 more apples for 5 dollars at the old market near the river", "CAPITALS: MARIA HAS 12 APPLES AND BUYS 30 MORE APPLES FOR 5 DOLLARS AT THE OLD MARKET NEAR THE RIVER!"),
+    ("Name the deepest lake of Asia", "he asked us to name the deepest lake of Asia again"),
+    ("Anna Bella Carla Dora Emma Fiona Greta Hanna Irma Julia Karla Lena", "They are Anna Bella Carla Dora Emma Fiona Greta Hanna Irma Julia Karla Lena as said"),
+    ("12 14 16 18 20 22 24 26 28 30 32 34 36", "numbers 12 14 16 18 20 22 24 26 28 30 32 34 36 end"),
+    ("when Tom saw the big red boat he told Tom to wait for it by the blue gate until noon", "and when Tom saw the big red boat he told Ann to wait for it by the blue gate until noon"),
+    ("the car goes 60 miles in one hour and then 45 miles in the next so how far does it go", "so the car goes 80 miles in one hour and then 80 miles in the next so how far does it go"),
+]
+
+
+def test_leaks_of_every_kind(spark):
+    """Capitals, short items, items of names or numbers, one edited value, and values that become equal."""
+    rng = random.Random(9)
+    clean = [" ".join(h.words(rng, 60)) for _ in range(20)] + ["Bob Carl Dan Ed Frank Gus Hal Ian Jack Karl Leo Max", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "name the lake", "YES", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([d for _, d in LEAKS] + clean)], h.DOCS)
+    bench = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(LEAKS)] + [(98, "yes"), (99, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(i, i) for i in range(len(LEAKS))}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, most=1).collect()} == got
+
+
+def test_decontamination_equals_plain_python(spark):
+    """Random texts with whole, edited, cut and re-parameterised items against every shift of every item."""
+    rng = random.Random(14)
+    vocabulary = ["Tom", "Ann", "the", "a", "red", "runs", "sees,", "3", "4", "15", "km", "of", "boat.", "X", "to", "by", "--", "gate", "old", "Rivers"]
+    text = lambda n: [rng.choice(vocabulary) + (str(rng.randrange(30)) if rng.random() < 0.4 else "") for _ in range(n)]
+    items = [text(rng.choice((3, 6, 9, 14, 30))) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        w = list(rng.choice(items))
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            w[rng.randrange(len(w))] = text(1)[0]
+        at = rng.choice((0, 0, 0, len(w) // 3))
+        docs.append(" ".join(text(rng.randrange(12)) + w[at:] + text(rng.randrange(12))).upper() if i % 7 == 0 else " ".join(text(rng.randrange(12)) + w[at:] + text(rng.randrange(12))))
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], h.DOCS)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words) for r in decontaminate.contaminated(frame, bench).collect()}
+    want = {(d, i): found for d, t in enumerate(docs) for i, w in enumerate(items) if (found := h.leak(t, " ".join(w)))}
+    assert got == want and len(want) > 20
+
+
 # 4 and 7
 
 
@@ -230,12 +274,30 @@ def test_classifier(spark, empty):
     assert len(got) == len(rows) and all(0 <= x <= 1 for x in got.values())
     assert np.mean([(got[i] >= 0.5) == (i % 3 > 0) for i in held]) > 0.97
     assert {r.doc_id for r in docs.where(classifier.held_out(F.col("doc_id"))).collect()} == {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0}
-    kept = classifier.keep_good(clash(docs), model, 0.5)
+    kept = classifier.keep_good(clash(docs), labels, 0.5, features=64)
     assert {r.doc_id for r in kept.collect()} == {i for i, x in got.items() if x >= 0.5} and kept.columns == clash(docs).columns
     blank = classifier.fit(classifier.with_statistics(empty), labels.limit(0))
     assert {r.score for r in classifier.score(stats, blank).collect()} == {0.5}
 
 
+def test_classifier_equals_one_process(spark):
+    """Partial sums, folds and bins against the same model fitted on one matrix."""
+    rng, n = np.random.default_rng(3), 500
+    x = rng.normal(size=(n, len(classifier.STATISTICS))).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.normal(size=n) > 0).astype(float)
+    rows = [(i, x[i].tolist()) for i in range(n)]
+    stats = spark.createDataFrame(rows, "doc_id long, x array<float>").repartition(40)
+    labels = spark.createDataFrame([(i, int(y[i])) for i in range(n)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in classifier.score(stats, classifier.fit(stats, labels, features=32)).collect()}
+    want = h.one_process(x.astype(float), y, [zlib.crc32(str(i).encode()) % 5 for i in range(n)], 32)
+    assert np.allclose([got[i] for i in range(n)], want, atol=1e-6)
+
+
+def test_sums_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "FAN", 2)
+    test_classifier_equals_one_process(spark)
+
+
 def test_isotonic():
     x, y = classifier.isotonic(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1 and len(x) == len(y)
@@ -272,6 +334,9 @@ def test_base_spans_of_any_text(spark, texts):
 
 def test_redaction(spark):
     df = spark.createDataFrame([(0, "é mail a@b.co now, +1 (017) 555-7713."), (1, None), (2, "clean"), (3, 'token = "c80fd45a66f8564ae70609f7b2a26100e64e830e"')], "doc_id long, text string")
+    wide = clash(df)
+    assert pii.redact(wide).columns == wide.columns and {(r.base, r.more, r._found) for r in pii.redact(wide).collect()} == {("x", "x", "x")}
+    assert pii.redact(df.limit(0)).count() == 0
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert got[0] == "é mail <email> now, <phone>." and got[1] is None and got[2] == "clean" and got[3] == 'token = "<secret>"'
 
@@ -281,7 +346,7 @@ def test_secret_candidates(spark):
     keys = ["sk_live_aB3dE5fG7hJ9kL2mN4", "sk_live_aB3dE5fG7hJ9kL2mN4", "eyJ" + "aB3d" * 300, "x" * 250 + "1", "1" * 250 + "x"]
     texts = [f"the key {k} is here" + " in 2024" * (i == 1) for i, k in enumerate(keys)] + ["z" * 300, "no key", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.more if x.kind == "secret"] for r in pii.candidates(df).collect()}
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.more if x.kind == "secret"] for r in df.select("doc_id", pii.candidates(F.col("text")).alias("f")).select("doc_id", "f.more").collect()}
     assert got == {i: [("secret", 8, 8 + len(keys[i]))] if i < len(keys) else [] for i in range(len(texts))}
 
 
@@ -402,7 +467,7 @@ def test_rule_index_loses_nothing(tail):
     url = "http://" + tail
     index, always = url_filter.index_rules(url_filter.PATTERN_RULES, {})
     near = {r.text for t in re.findall("[a-z0-9]+", url) for r in index.get(t, ())} | {r.text for r in always}
-    assert {r.text for r in url_filter.PATTERN_RULES if re.search(r.expression, url)} <= near
+    assert {r.text for r in url_filter.PATTERN_RULES if r.hits(url)} <= near
 
 
 # 10
@@ -415,6 +480,20 @@ def test_extraction(spark):
     assert got[1].text == "A & B\nFirst line of text.\nSecond line here, too." and [got[i].text for i in (2, 3, 4)] == ["", "", ""] and got[1].url == "u" and 5 in got
 
 
+def test_extraction_keeps_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "<p>One line of it.</p>")], "page_id long, html string").withColumns({c: F.lit("x") for c in ("n", "label", "path", "score", "_found")})
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "n", "label", "path", "score", "_found", "text"] and html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_whole_blocks_count():
+    """Words and digits count wherever they stand in a block."""
+    block = lambda t: html_extract.Block(t, (("p",),))
+    same = "word " * 300
+    one, two = (html_extract.vectors([block(same + x)]) for x in ("zebra 1", "giraffe a"))
+    assert (one != two).sum() >= 3
+
+
 def test_held_out_labels():
     model = html_extract.trained()
     test = html_extract.training_pages(150, 77)
