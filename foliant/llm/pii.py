@@ -17,8 +17,11 @@ expectation-maximisation how reliable each labeler is, and trains a logistic
 span classifier on the posteriors.  Its decisions for all patterns go back
 into the plan.  Base spans stay whatever it says.
 
-Cases: a null text is an empty one.  Empty texts and tables give no spans.
-Repeated rows are judged alike.
+Cases: a null text is an empty one, and stays null when redacted.  Empty texts
+and tables give no spans.  Repeated rows are judged alike.  Spans are ordered by
+kind (email, ip, card, phone, then the method's own kind, secret) and start, so
+there are no ties.  Other columns are kept whatever they are called.  A text of
+any length is judged whole; it has to fit a task, as any row.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise
+from foliant.llm.common import fresh, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("card", "phone", "secret")
@@ -46,7 +49,7 @@ BASE = {
 LOOSE = {
     "card": r"(?<![0-9.])[0-9]{13,19}+(?![0-9])",
     "phone": r"(?<![0-9+)\x20-])(?<![0-9][\x20-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{20,}+",
+    "secret": r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{20,}+(?:\.[A-Za-z0-9_/+-]{16,}+)*+",
 }
 #: A text without these has no candidate of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
@@ -148,21 +151,23 @@ def votes(kind: str, v: Column, before: Column, strict: Column) -> Column:
     )
 
 
-def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with `base` (kind, s, e, code) and `more` (the same, of looser candidates apart from base)."""
-    text = F.col("_pii")
-    cols = {f"_b_{k}": base_spans(text, k) for k in KINDS}
-    df = df.withColumn("_pii", F.coalesce(F.col(text_col), F.lit(""))).withColumns(cols)
+def candidates(text: Column) -> Column:
+    """struct of `base` (kind, s, e, code) and `more` (the same, of looser candidates apart from base) of a text."""
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
 
-    def coded(kind: str, found: Column, strict: bool) -> Column:
-        before = lambda x: F.substring(text, F.greatest(x["s"] - 15, F.lit(1)), F.least(x["s"], F.lit(16)))
+    def coded(t: Column, kind: str, found: Column, strict: bool) -> Column:
+        before = lambda x: F.substring(t, F.greatest(x["s"] - 15, F.lit(1)), F.least(x["s"], F.lit(16)))
         return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), votes(kind, x["v"], before(x), F.lit(strict)).alias("code")))
 
-    base = F.concat(*(coded(k, F.col(f"_b_{k}"), True) for k in KINDS))
-    df = df.withColumn("base", base).drop(*cols)
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    loose = F.concat(*(coded(k, F.when(text.rlike(LOOSE_NEEDS[k]), apart(spans(text, LOOSE[k]), F.col("base"))).otherwise(none), False) for k in EXTRA))
-    return df.withColumn("more", loose).drop("_pii")
+    def strict(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.concat(*(coded(t, k, base_spans(t, k), True) for k in KINDS)).alias("base"))
+
+    def loose(x: Column) -> Column:
+        found = (coded(x["t"], k, F.when(x["t"].rlike(LOOSE_NEEDS[k]), apart(spans(x["t"], LOOSE[k]), x["base"])).otherwise(none), False) for k in EXTRA)
+        return F.struct(x["base"].alias("base"), F.concat(*found).alias("more"))
+
+    # As lambdas' arguments the text and its base spans are made once, however often they are named.
+    return F.transform(F.transform(F.array(F.coalesce(text, F.lit(""))), strict), loose)[0]
 
 
 @dataclass(frozen=True)
@@ -208,20 +213,20 @@ def train(counts: dict[str, int], rounds: int = 60) -> SpanModel:
     return SpanModel(accepted, dict(zip(names, right.tolist(), strict=True)))
 
 
-def fit(found: DataFrame) -> SpanModel:
-    """A model from the candidates of all rows of `found` (as from candidates())."""
-    rows = found.select(F.explode(F.concat("base.code", "more.code")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+def fit(found: DataFrame, column: str = "found") -> SpanModel:
+    """A model from the candidates of all rows of `found`, in the struct `column`."""
+    rows = found.select(F.explode(F.concat(f"{column}.base.code", f"{column}.more.code")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     return train({r["code"]: r["n"] for r in rows.collect()})  # at most some thousand codes exist
 
 
 ORDER = ("email", "ip", "card", "phone", "secret")
 
 
-def all_spans(model: SpanModel) -> Column:
-    """Base spans and accepted candidates, by kind and start."""
+def all_spans(model: SpanModel, found: str = "found") -> Column:
+    """Base spans and accepted candidates of the struct `found`, by kind and start."""
     rank = lambda x: F.array_position(F.array(*map(F.lit, ORDER)), x["kind"])
-    more = F.filter("more", lambda x: x["code"].isin(*model.accepted)) if model.accepted else F.filter("more", lambda x: F.lit(False))
-    keyed = F.transform(F.concat("base", more), lambda x: F.struct(rank(x).alias("r"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    more = F.filter(f"{found}.more", lambda x: x["code"].isin(*model.accepted) if model.accepted else F.lit(False))
+    keyed = F.transform(F.concat(f"{found}.base", more), lambda x: F.struct(rank(x).alias("r"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
     return F.array_sort(keyed)
 
 
@@ -235,18 +240,18 @@ def joined(found: Column) -> Column:
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): base and all spans of every row, each (kind, s, e)."""
-    found = materialise(candidates(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text"), "candidates")
-    return found.select("doc_id", "base", all_spans(fit(found)).alias("spans"))
+    found = materialise(df.select(F.col(id_col).alias("doc_id"), candidates(F.col(text_col)).alias("found")), "candidates")
+    return found.select("doc_id", F.col("found.base").alias("base"), all_spans(fit(found)).alias("spans"))
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with every span of its texts replaced by its kind in angle brackets."""
-    found = materialise(candidates(df.select(F.col(text_col).alias("text")), "text").drop("text"), "candidates")
-    model = fit(found)
-    marked = candidates(df, text_col)
-    by_place = F.array_sort(F.transform(all_spans(model), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    name = fresh("_found", df)
+    marked = materialise(df.withColumn(name, candidates(F.col(text_col))), "marked")
+    by_place = F.array_sort(F.transform(all_spans(fit(marked, name), name), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     text = F.col(text_col)
     zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
     step = lambda a, x: F.when(x["s"] < a["at"], F.struct(a["t"].alias("t"), F.greatest(a["at"], x["e"]).alias("at"))).otherwise(F.struct(F.concat(a["t"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("t"), x["e"].alias("at")))
     done = F.aggregate(by_place, zero, step, lambda a: F.concat(a["t"], F.substring(text, a["at"] + 1, F.length(text))))
-    return marked.withColumn(text_col, F.when(text.isNull() | ((F.size("base") == 0) & (F.size("more") == 0)), text).otherwise(done)).select(*df.columns)
+    empty = (F.size(f"{name}.base") == 0) & (F.size(f"{name}.more") == 0)
+    return marked.withColumn(text_col, F.when(text.isNull() | empty, text).otherwise(done)).select(*df.columns)
