@@ -2,15 +2,19 @@
 
 Document statistics are standardised and mapped by random Fourier features,
 whose inner products approximate a Gaussian kernel.  Each partition sums its
-part of the normal equations, the parts are added in two steps, and the driver
-solves one small system for each left-out fold and one for all folds.  Scores
+part of the normal equations, parts are added FAN at a time until a few are
+left, and the driver solves one small system for each left-out fold and one for
+all folds.  Scores
 of rows that a model has not seen are counted in bins, and pool-adjacent
 violators turn the bins into a monotone map from raw score to probability.
 
 The statistics read the text alone: no id, language, source or label.
-Nulls: a null text counts as an empty one, and empty texts are scored too.
-Label rows without a label or document are left out; several labels of one
-document all count.  Without any label every score is 0.5.
+Nulls: a null text counts as an empty one, and empty texts are scored too.  A
+null id is not held out.  Label rows without a label or document are left out;
+several labels of one document all count, and so do all rows that share an id.
+Equal texts get equal scores.  Without any label, as with empty tables, every
+score is 0.5.  Other columns are kept whatever they are called.  A text of any
+length is read whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import map_rows, materialise
+from foliant.llm.common import fresh, map_rows, materialise
 from foliant.llm.quality_rules import Doc
 
+#: Partial sums that one task adds up; each has about half a megabyte.
+FAN = 16
+
 STATISTICS = (
     "log_words", "mean_word", "upper", "symbols", "no_letters", "digits", "exclaims", "commas", "stops", "distinct",
     "top_word", "same_next", "repeated", "dup_lines", "line_words", "short_words", "long_words", "capitalised",
@@ -107,7 +114,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", features: i
     """A model from `stats` (doc_id, x) and the labels of rows outside fold 0.
 
     Means and scales come from all rows of `stats`.  All labelled rows count;
-    the driver gets 16 partial sums for each fold and at most `bins` bin counts.
+    the driver gets at most FAN partial sums for each fold and `bins` bin counts.
     """
     d = len(STATISTICS)
     both = stats.agg(*(f(F.col("x")[i].cast("double")).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
@@ -132,15 +139,18 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", features: i
                 b[f] += z[at].T @ y[at]
         part = TaskContext.get().partitionId()
         for f in np.flatnonzero(a[:, -1, -1]):
-            yield pa.RecordBatch.from_arrays([pa.array([part % 16], pa.int32()), pa.array([int(f)], pa.int32()), pa.array([part], pa.int32()), pa.array([np.concatenate([a[f].ravel(), b[f]]).tobytes()], pa.binary())], ["cell", "fold", "part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(f)], pa.int32()), pa.array([part], pa.int32()), pa.array([np.concatenate([a[f].ravel(), b[f]]).tobytes()], pa.binary())], ["fold", "part", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x) for x in pdf.sort_values("part")["sums"])
-        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "cell": pdf["cell"].iloc[:1], "sums": [total.tobytes()]})
+        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN, "sums": [total.tobytes()]})
 
-    parts = train.mapInArrow(sums, "cell int, fold int, part int, sums binary").groupBy("cell", "fold").applyInPandas(add, "fold int, cell int, sums binary")
+    parts = train.mapInArrow(sums, "fold int, part int, sums binary")
+    left = (train.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    while left > FAN:
+        parts, left = parts.groupBy("fold", F.floor(F.col("part") / FAN)).applyInPandas(add, "fold int, part int, sums binary"), -(-left // FAN)
     per_fold: dict[int, np.ndarray] = {}
-    for row in sorted(parts.collect(), key=lambda r: (r["fold"], r["cell"])):
+    for row in sorted(parts.collect(), key=lambda r: (r["fold"], r["part"])):
         per_fold[row["fold"]] = per_fold.get(row["fold"], 0) + np.frombuffer(row["sums"])
     if not per_fold:
         return blank
@@ -180,12 +190,22 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "x").mapInArrow(run, T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
-def keep_good(df: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, whose text scores the threshold or more."""
+def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, with all their columns, whose text scores the threshold or more by a model of df and labels.
+
+    The statistics are written beside the rows, so they are made once.
+    """
+
+    @F.pandas_udf("array<float>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.array(statistics(t), np.float32))
+
+    name = fresh("_statistics", df)
+    marked = materialise(df.withColumn(name, measured(F.coalesce(text_col, F.lit("")))), "marked")
+    model = fit(marked.select(F.col(id_col).alias("doc_id"), F.col(name).alias("x")), labels, **options)
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS)).astype(np.float32)
-        return pd.Series(model.score(x.astype(np.float64)) >= threshold)
+    def good(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_list()).astype(np.float64)) >= threshold if len(x) else [], dtype=bool)
 
-    return df.where(good(F.col(text_col)))
+    return marked.where(good(F.col(name))).select(*df.columns)
