@@ -10,7 +10,10 @@ comments, in invented words, so that structure and not vocabulary decides.
 
 Cases: a null or empty page has no blocks and an empty text; scripts, styles,
 comments and the head never make blocks; unclosed elements end where HTML ends
-them.  Repeated rows are treated alike.
+them.  Repeated rows are treated alike, and an empty table gives an empty one.
+All other columns are kept, but for one that is named like the result.  Every
+word and character of a block counts in its vector, and pages of any length are
+read whole, one batch of blocks or one page at a time.
 """
 
 from __future__ import annotations
@@ -127,6 +130,19 @@ def _slot(part: str, dims: int) -> int:
     return zlib.crc32(part.encode()) % dims
 
 
+class _WordSlots(dict):
+    """Lower-case word -> its slot; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = at = zlib.crc32(b"word:" + word.encode(errors="replace")) % WORD_DIMS
+        return at
+
+
+_SLOTS = _WordSlots()
+
+
 def vectors(page: list[Block]) -> np.ndarray:
     """One row a block: hashed path parts, hashed words, measures."""
     x = np.zeros((len(page), DIMS), np.float32)
@@ -134,13 +150,12 @@ def vectors(page: list[Block]) -> np.ndarray:
         for depth, names in enumerate(reversed(b.path)):
             for j, name in enumerate(names):
                 x[i, _slot(("tag:" if j == 0 else "name:") + name, PATH_DIMS)] += 1.0 if depth < 2 else 0.6
-        words = b.text.split()
-        for w in words[:64]:
-            x[i, PATH_DIMS + _slot("word:" + w.lower(), WORD_DIMS)] += 1 / min(len(words), 64)
+        words = b.text.lower().split()
+        x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(list(map(_SLOTS.__getitem__, words)), minlength=WORD_DIMS) / len(words)
         n = len(b.text)
         x[i, PATH_DIMS + WORD_DIMS :] = (
             min(np.log1p(n) / 8, 2), min(np.log1p(len(words)) / 6, 2), min(b.link_chars / n, 1), sum(map(b.text.count, ".,;:!?")) / n * 5,
-            sum(c.isdigit() for c in b.text[:500]) / min(n, 500), b.text[-1] in ".!?…\"”", i / len(page), len(page) / (len(page) + 40), len(b.path) / 10, b.text[0].isupper(),
+            sum(map(b.text.count, "0123456789")) / n, b.text[-1] in ".!?…\"”", i / len(page), len(page) / (len(page) + 40), len(b.path) / 10, b.text[0].isupper(),
         )
     return x
 
@@ -298,7 +313,7 @@ def synthetic_page(rng: random.Random) -> str:
 def training_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     rng, out = random.Random(seed), []
     while len(out) < n:
-        page = blocks(synthetic_page(rng))[:120]
+        page = blocks(synthetic_page(rng))
         if page:
             y = np.array([b.text.startswith(MARK) for b in page], np.float32)
             for b in page:
