@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import classifier, decontaminate, html_extract, near_dup, packing, pii, quality_rules, substring_dedup, tokens, url_filter
-from foliant.llm.common import materialise, work_folder
+from foliant.llm.common import discard, folders, materialise, work_folder
 
 
 def tokenizer_path() -> str:
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     features = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = quality_rules.apply_cascade(docs, quality_rules.plan_cascade(docs), quality_rules.BASE_RULES, features)
+    out = quality_rules.apply_cascade(docs, quality_rules.plan_cascade(docs, emit=features), quality_rules.BASE_RULES, features)
     return out.select("doc_id", *features, F.col("gate_failed").alias("base_failed"), "kept")
 
 
@@ -70,7 +71,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, which then leaves no tables in the shared folder but those its result reads."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        older = folders()
+        out = query(spark, sf_dir)
+        discard(spark, out, older)
+        return out
+
+    return run
+
+
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
@@ -83,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
+QUERIES = {name: _tidy(query) for name, query in _ALL.items()}
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -112,15 +128,17 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)"""
 
 
-def _op9() -> str:
-    fits = [(r.text, r.verdict, f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')") for r in sorted(url_filter.HOST_RULES, key=lambda r: -len(r.text))]
-    rule = " ".join(f"WHEN {c} THEN '{t}'" for t, _, c in fits)
-    verdict = " ".join(f"WHEN {c} THEN '{v}'" for _, v, c in fits)
-    hit = " OR ".join(f"regexp_matches(lower(url), '{r.expression}')" for r in url_filter.PATTERN_RULES)
-    return f"""
-WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {_AZ}) AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
-SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {hit} THEN 'block' ELSE 'allow' END AS verdict FROM u"""
-
+#: Written out by hand, apart from the operator's own expressions.
+_OP9 = rf"""
+WITH u AS (SELECT page_id, coalesce(lower(url), '') AS url, coalesce(regexp_extract(lower(url), '(?s)://(.*)$', 1), '') AS rest,
+  translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {_AZ}) AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches(rest, '^([^/?#]*[.])?(ads[.]|ads-track[.]|ad[.]|adserver[.]|banner[.]|doubleclick[.]|popads[.]|track[.]|tracker[.]|tracking[.]|casino-win[.]|casino[.]|free-bets[.]|bets[.]|betting[.]|poker[.]|slots[.]|cheap-pills[.]|pills[.]|viagra[.]|xxx[.]|porn[.]|adult-|warez[.]|torrent[.])') THEN 'block'
+  WHEN regexp_matches(url, '(-casino-|[.]casino-|-bets[.]|-pills[.]|/ads/|/adserver/|/banner/|/banners/|/casino/|/popup/|/viagra/|[?]ad_id=|&ad_id=|/porn/|/warez/|/phishing/)') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 #: The other operators train models, call the tokenizer or split texts by rules that SQL has no words for; the tests hold them against plain Python.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_near_duplicates": _OP8, "op9_url_filter": _op9()}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op8_near_duplicates": _OP8, "op9_url_filter": _OP9}

@@ -12,7 +12,10 @@ every url.
 Host rules (host, path) come first: the longest fitting one decides.
 
 Nulls and urls without ``://`` have an empty host and path; they fit no host
-rule, and pattern rules see the whole url.  Repeated rows are judged alike.
+rule and no pattern rule of a host, and the other pattern rules see the whole
+url.  Repeated rows are judged alike, an empty table gives an empty result, and
+other columns are ignored.  Of host rules of equal length that fit, and of
+pattern rules that hit, the first one listed is reported.
 """
 
 from __future__ import annotations
@@ -45,16 +48,26 @@ class PatternRule:
     text: str
     verdict: str = "block"
 
+    @property
+    def of_host(self) -> bool:
+        return self.text.startswith("||")
+
     @property
     def expression(self) -> str:
-        body, anchor = (self.text[2:], r"://(?:[^/?#]*\.)?") if self.text.startswith("||") else (self.text, "")
-        return anchor + "".join({"*": ".*", "^": r"(?:[^a-z0-9%._-]|$)"}.get(c, re.escape(c)) for c in body.lower())
+        """For the url, or for what follows its first ``://`` if the rule is one of hosts."""
+        body, anchor = (self.text[2:], r"^(?:[^/?#]*\.)?") if self.of_host else (self.text, "")
+        return "(?s)" + anchor + "".join({"*": ".*", "^": r"(?:[^a-z0-9%._-]|$)"}.get(c, re.escape(c)) for c in body.lower())
+
+    def hits(self, url: str) -> bool:
+        """Whether the rule fits a lower-cased url."""
+        _, mark, rest = url.partition("://")
+        return (bool(mark) or not self.of_host) and re.search(self.expression, rest if self.of_host else url) is not None
 
     @property
     def tokens(self) -> list[str]:
         """Runs that whole tokens of a matching url must equal: bounded by literal non-token characters or anchors."""
         body = self.text.lower()
-        start_is_edge = body.startswith("||")
+        start_is_edge = self.of_host
         body = body[2:] if start_is_edge else body
         out = []
         for m in _TOKEN.finditer(body):
@@ -126,15 +139,13 @@ def judge_urls(
     fields = [T.StructField("page_id", df.schema[id_col].dataType), *(T.StructField(x, T.StringType()) for x in ("host", "path", "rule", "verdict", "pattern"))]
 
     def make():
-        compiled = {r.text: re.compile(r.expression) for r in patterns}
-
         def judge(key, url):
             host, path = split_url(url)
             if rule := host_rule(host, path, hosts):
                 return key, host, path, rule.text, rule.verdict, None
             low = (url or "").lower()
             candidates = {r.text: r for t in _TOKEN.findall(low) for r in index.get(t, ())} | {r.text: r for r in always}
-            hits = [r for r in candidates.values() if compiled[r.text].search(low)]
+            hits = [r for r in candidates.values() if r.hits(low)]
             hit = min(hits, key=lambda r: order[r.text], default=None)
             return key, host, path, None, hit.verdict if hit else "allow", hit.text if hit else None
 
