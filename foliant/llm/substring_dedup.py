@@ -23,7 +23,9 @@ text (code points, end exclusive); ``cut`` removes them from the texts.
 
 Nulls: null and empty texts have no words.  Rows with a null id are left
 alone.  Rows that share an id count as one document for the ranking, so one
-does not repeat the other.  An empty table gives an empty result.
+does not repeat the other.  An empty table gives an empty result.  Other columns
+are ignored by ``removed_runs`` and kept by ``cut``, whatever they are called.
+A text of any length is read whole; it has to fit a task.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SLICE, WORD, join_unique, list_values, materialise
+from foliant.llm.common import SLICE, WORD, fresh, join_unique, list_values, materialise
 
 _ENDS = re.compile(r"[.!?…][\"'”’)\]]*$")
 _OUTER = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
@@ -96,11 +98,13 @@ class Texts:
         begins[1:] |= (flags & _END) > 0
         begins[n] = False
         bounds = np.flatnonzero(begins)
-        #: Units: first word and the word after the last.
-        self.begin, self.end = bounds, np.append(bounds[1:], n)[: len(bounds)]
         solid = (flags & _BARE) == 0
         #: The place of each word that is more than punctuation, and how many stand before each word.
         self.at, self.before = np.flatnonzero(solid), np.concatenate([[0], np.cumsum(solid)]).astype(np.int64)
+        #: Units with such a word: first word and the word after the last.
+        stops = np.append(bounds[1:], n)[: len(bounds)]
+        more = self.before[stops] > self.before[bounds]
+        self.begin, self.end = bounds[more], stops[more]
         m = len(self.at)
         pairs = np.frombuffer(words.hashes, np.uint64).reshape(-1, 2)[rows[self.at]]
         self.sums, self.inverse = [], []
@@ -281,14 +285,15 @@ def removed_runs(df: DataFrame, min_words: int = 30, id_col: str = "doc_id", tex
 
 def cut(df: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the runs taken out of its texts; documents without runs are not shuffled if few have some."""
-    spans = materialise(runs.groupBy(F.col("doc_id").alias(id_col)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs")), "spans")
-    few = spans.count() <= 50_000
+    name = fresh("_runs", df)
+    spans = materialise(runs.groupBy(F.col("doc_id").alias(id_col)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name)), "spans")
+    few = (spans.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= 500_000  # runs and documents
     joined = df.join(F.broadcast(spans) if few else spans, id_col, "left")
     begin = F.lit(0).cast("long")
     left = F.aggregate(
-        "_runs",
+        name,
         F.struct(F.lit("").alias("t"), begin.alias("at")),
         lambda a, r: F.struct(F.concat(a["t"], F.substring(text_col, (a["at"] + 1).cast("int"), (r["start"] - a["at"]).cast("int"))).alias("t"), r["end"].alias("at")),
         lambda a: F.concat(a["t"], F.substring(text_col, (a["at"] + 1).cast("int"), F.length(text_col))),
     )
-    return joined.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(left)).select(*df.columns)
+    return joined.withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(left)).select(*df.columns)
