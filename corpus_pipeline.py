@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept.  The driver of the stages writes each result as Parquet and hands the
 next stage the table it reads back.
+
+All stages but the last return the columns of the documents.  A null or empty
+text scores like any other; what is kept has no shingles, holds no passage and
+no personal data, and is packed as its end id.  Rows with a null id are kept by
+all stages that keep their text.  Rows that share an id go or stay together
+where ids decide (near duplicates, decontamination); repeated rows of a kept id
+all stay.  Of equal documents the smallest id stays.  Empty tables give empty
+tables.  Other columns are carried along, whatever they are called.  Texts of
+any length are read whole; only packing cuts documents, into whole pieces.
 """
 
 from __future__ import annotations
@@ -17,13 +26,12 @@ from foliant.llm.queries import table, tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more."""
-    stats = materialise(classifier.with_statistics(docs), "statistics")
-    return classifier.keep_good(docs, classifier.fit(stats, table(spark, sf_dir, "labels")), 0.3)
+    return classifier.keep_good(docs, table(spark, sf_dir, "labels"), 0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    found = near_dup.near_duplicates(docs, percent=85, width=5)
+    found = near_dup.near_duplicates(docs, percent=80, width=5)
     copies = materialise(found.where("not kept").select("doc_id").distinct(), "copies")
     return join_ids(docs, copies, "doc_id", "left_anti").select(*docs.columns)
 
