@@ -65,16 +65,26 @@ def forms(text: Column) -> Column:
     return F.transform(F.array(clean(text)), split)[0]
 
 
+def hashed(f: Column) -> Column:
+    """The forms with a hash for each word, so that a window hashes numbers."""
+    return F.struct(*(F.transform(f[x], lambda w: F.xxhash64(w)).alias(x) for x in ("words", "canon")))
+
+
+def window_hash(hashes: Column, at: Column, n: int) -> Column:
+    """Hash of the n words from place `at` (0-based) on, without a copy of them."""
+    return F.xxhash64(*(F.get(hashes, at + j) for j in range(n)))
+
+
 def windows(df: DataFrame, key: str, text: str, lengths: list[int]) -> DataFrame:
     """(key, pos, h) of every window of both forms; windows without placeholders are the same in both."""
 
     def hashes(f: Column, n: int) -> Column:
-        at = lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(f["canon"], i, n)).alias("a"), F.xxhash64(F.slice(f["words"], i, n)).alias("b"))
+        at = lambda i: F.struct(i.alias("pos"), window_hash(f["canon"], i, n).alias("a"), window_hash(f["words"], i, n).alias("b"))
         none = F.array().cast("array<struct<pos:int,a:bigint,b:bigint>>")
-        return F.when(F.size(f["words"]) >= n, F.transform(F.sequence(F.lit(1), F.size(f["words"]) - n + 1), at)).otherwise(none)
+        return F.when(F.size(f["words"]) >= n, F.transform(F.sequence(F.lit(0), F.size(f["words"]) - n), at)).otherwise(none)
 
-    # One lambda over the forms, and no filter on them: either would have them made twice.
-    found = F.transform(F.array(forms(F.col(text))), lambda f: F.concat(*(hashes(f, n) for n in lengths)))[0]
+    # Lambdas over the forms, and no filter on them: either would have them made twice.
+    found = F.transform(F.transform(F.array(forms(F.col(text))), hashed), lambda f: F.concat(*(hashes(f, n) for n in lengths)))[0]
     both = F.when(F.col("w.a") == F.col("w.b"), F.array("w.a")).otherwise(F.array("w.a", "w.b"))
     return df.select(key, F.explode(found).alias("w")).select(key, F.col("w.pos").alias("pos"), F.explode(both).alias("h"))
 
@@ -86,11 +96,12 @@ def _is_slot(token: Column) -> Column:
 def item_windows(items: DataFrame, window: int, literal: int) -> DataFrame:
     """(item_id, item_hash, ipos, len, h) of the windows that items are looked up by."""
     told = items.select("item_id", F.hash("item_text").alias("item_hash"), forms(F.col("item_text")).alias("f")).withColumn("len", F.least(F.size("f.words"), F.lit(window)))
-    at = F.transform(F.sequence(F.lit(1), F.size("f.words") - F.col("len") + 1), lambda i: F.struct(F.slice("f.canon", i, F.col("len")).alias("c"), F.slice("f.words", i, F.col("len")).alias("w")))
+    told = told.withColumn("h", hashed(F.col("f")))
+    of = lambda form, i: F.coalesce(*(F.when(F.col("len") == n, window_hash(F.col("h")[form], i, n)) for n in range(1, window + 1)))
+    plain = lambda i: F.size(F.filter(F.slice("f.canon", i + 1, F.col("len")), lambda t: ~_is_slot(t)))
+    at = F.transform(F.sequence(F.lit(0), F.size("f.words") - F.col("len")), lambda i: F.struct(of("words", i).alias("w"), F.when(plain(i) >= F.least(F.lit(literal), F.ceil(F.col("len") / 2)), of("canon", i)).alias("c")))
     told = told.select("item_id", "item_hash", "len", F.posexplode(at).alias("ipos", "g"))
-    plain = F.size(F.filter("g.c", lambda t: ~_is_slot(t)))
-    template = F.when(plain >= F.least(F.lit(literal), F.ceil(F.col("len") / 2)), F.xxhash64("g.c"))
-    return told.select("item_id", "item_hash", "ipos", "len", F.explode(F.array_compact(F.array_distinct(F.array(F.xxhash64("g.w"), template)))).alias("h")).distinct()
+    return told.select("item_id", "item_hash", "ipos", "len", F.explode(F.array_compact(F.array_distinct(F.array("g.w", "g.c")))).alias("h")).distinct()
 
 
 def consistent(slots: Column) -> Column:
