@@ -31,15 +31,14 @@ A text of any length is read whole; it has to fit a task.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from foliant.llm.common import SLICE, WORD, fresh, join_unique, list_values, materialise
 
@@ -50,22 +49,34 @@ _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _U = np.uint64
 
 
+#: First or last bytes of words that need a closer look: ASCII punctuation; what may end a sentence; capitals.
+_PUNCTUATION = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_CLOSING = frozenset(b".!?\"')]") | frozenset(range(128, 256))
+_CAPITALS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") | frozenset(range(128, 256))
+
+
 class Words(dict):
-    """Raw word -> its row in `hashes` (two of 64 bits) and `flags`."""
+    """Raw word -> its row in `hashes` (16 bytes) and `flags`."""
 
-    def __init__(self, entries: int = 200_000):
+    def __init__(self, entries: int = 400_000):
         self.entries = entries
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.hashes, self.flags = array("Q"), bytearray()
+        self.hashes, self.flags = bytearray(), bytearray()
 
     def __missing__(self, raw: bytes) -> int:
-        w, key = raw.decode(errors="replace"), _OUTER.sub(b"", raw.lower())
-        digest = xxhash.xxh3_128_intdigest(key)
-        self.hashes.extend((digest >> 64, digest & (2**64 - 1)))
-        self.flags.append(_BARE * (not key) | _CAPITAL * (w[0].isupper() and not w[1:2].isupper()) | _END * bool(_ENDS.search(w)))
+        key, flag = raw.lower(), 0
+        if raw[0] in _PUNCTUATION or raw[-1] in _PUNCTUATION:
+            key = _OUTER.sub(b"", key)
+            flag = 0 if key else _BARE
+        if raw[-1] in _CLOSING and _ENDS.search(raw.decode(errors="replace")):
+            flag |= _END
+        if raw[0] in _CAPITALS and (w := raw.decode(errors="replace"))[0].isupper() and not w[1:2].isupper():
+            flag |= _CAPITAL
+        self.hashes += xxh3_128_digest(key)
+        self.flags.append(flag)
         self[raw] = at = len(self.flags) - 1
         return at
 
@@ -200,18 +211,16 @@ def _passages(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     words = Words()
     for keys, texts, *rep in _batches(batches):
         made, out = Texts(texts, words, min_words), []
-        for i, (key, text, r1, r2, first, (u, w)) in enumerate(zip(keys, texts, *rep, made.ranges(), strict=True)):
+        for i, (key, text, r1, first, (u, w)) in enumerate(zip(keys, texts, *rep, made.ranges(), strict=True)):
             zero, n = made.first[i], made.first[i + 1] - made.first[i]
-            keeper = {(x, y): k for x, y, k in zip(r1.tolist(), r2.tolist(), first.tolist(), strict=True) if k != key}
-            seen: set = set()
-            units = []
-            for at, h in enumerate(zip(*made.unit[u].T.tolist(), strict=True), u.start):
-                k = keeper.get(h, key if h in seen else None)
-                seen.add(h)
-                if k is not None:
-                    units.append((at, k))
-            at = np.array([x for x, _ in units], np.int64)
-            firsts = np.array([k for _, k in units], np.int64)
+            # The list holds marks of this document alone, so half of a digest tells them apart.
+            mine, order = made.unit[u, 0], np.argsort(r1)
+            place = np.minimum(np.searchsorted(r1[order], mine), max(len(r1) - 1, 0))
+            keeper = first[order][place] if len(r1) else np.full(len(mine), key)
+            told = (r1[order][place] == mine) & (keeper != key) if len(r1) else np.zeros(len(mine), bool)
+            _, earliest, same = np.unique(mine, return_index=True, return_inverse=True)
+            repeated = np.flatnonzero(told | (earliest[same] != np.arange(len(mine))))
+            at, firsts = u.start + repeated, np.where(told, keeper, key)[repeated]
             grams = made.grams[made.anchor[w], 0]
             own, times = np.unique(made.grams[np.unique(made.anchor[w]), 0], return_counts=True)
             s = made.window[w][np.isin(grams, np.concatenate([r1, own[times > 1]]))]
@@ -271,10 +280,10 @@ def removed_runs(df: DataFrame, min_words: int = 30, id_col: str = "doc_id", tex
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     table = materialise(docs.mapInArrow(partial(_marks, min_words), "doc_id long, h1 array<long>, h2 array<long>, own boolean"), "marks")
     # The keepers' own marks are there as well: their windows are what others are compared with.
-    marks = _keepers(table, "marks").select("doc_id", F.struct("h.h1", "h.h2", "first").alias("r"))
+    marks = _keepers(table, "marks").select("doc_id", F.struct("h.h1", "first").alias("r"))
     own = table.where("own").select("doc_id", F.lit(None).alias("r"))  # repeats inside the document
     lists = materialise(marks.union(own).groupBy("doc_id").agg(F.collect_list("r").alias("r")), "lists")  # at most a document's marks
-    near = docs.join(lists, "doc_id").select("doc_id", "text", "r.h1", "r.h2", "r.first")
+    near = docs.join(lists, "doc_id").select("doc_id", "text", "r.h1", "r.first")
     found = materialise(near.mapInArrow(partial(_passages, min_words), _PASSAGES), "passages")
 
     windows = _keepers(found, "windows").where("doc_id <> first")
