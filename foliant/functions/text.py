@@ -155,12 +155,18 @@ def looks_like_file_name(title: Column) -> Column:
     return ~title.contains(" ") & (marks >= 2)
 
 
+# Parts of names of monospace fonts.
+MONOSPACE = ("courier", "consolas", "mono", "menlo", "sourcecode", "cmtt", "nimbusmon", "inconsolata", "sftt", "txtt", "lucidaconsole", "firacode")
+
+
 def monospace(font: Column) -> Column:
-    """Whether a font name, without its subset prefix, hints at fixed width."""
-    # Parts of names of monospace fonts.
-    hints = ("mono", "courier", "consol", "code", "menlo", "typewriter", "fixed", "inconsolata", "terminal", "monaco", "cmtt", "hack")
-    bare = F.lower(F.regexp_replace(F.regexp_replace(font, r"^[A-Z]{6}\+", ""), "[^A-Za-z]", ""))
-    return bare.rlike("|".join(hints))
+    """Whether the letters of a font's name, after the last plus sign, hint at fixed width."""
+    return F.regexp_replace(F.lower(F.element_at(F.split(font, r"\+"), -1)), "[^a-z]", "").rlike("|".join(MONOSPACE))
+
+
+def is_monospace(font: str) -> bool:
+    """The same of one name, outside a plan."""
+    return re.search("|".join(MONOSPACE), re.sub("[^a-z]", "", font.lower().rpartition("+")[2])) is not None
 
 
 def dehyphenate(text: Column) -> Column:

@@ -74,7 +74,7 @@ def update_metadata(books: DataFrame, book_id: str, **changes: str | None) -> Da
 
 def remove_books(books: DataFrame, *dependents: DataFrame, removed: DataFrame) -> tuple[DataFrame, ...]:
     """The books and their dependent tables without the removed ids."""
-    return tuple(t.join(F.broadcast(removed.select("book_id").distinct()), "book_id", "left_anti") for t in (books, *dependents))
+    return tuple(t.join(removed.select("book_id").distinct(), "book_id", "left_anti") for t in (books, *dependents))
 
 
 @F.pandas_udf(T.DoubleType())

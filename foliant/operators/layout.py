@@ -12,15 +12,17 @@ def furniture_key(text: Column) -> Column:
 
 
 def without_furniture(boxes: DataFrame, reach: int = 3) -> DataFrame:
-    """boxes (page, text, edge) without edge texts that recur on another page within `reach` pages.
+    """boxes (page, text, edge, and doc where there are several) without edge texts that recur on another page within `reach` pages.
 
-    Keys are compared by page, not by box, in equi joins on the neighbouring pages.
+    Only edge texts are shuffled.  They are compared by hash and page with the
+    neighbouring pages' texts, not box by box.
     """
-    keyed = boxes.withColumn("_key", furniture_key(F.col("text")))
-    pages = keyed.where("_key is not null").select("_key", "page").distinct()
-    near = pages.select("_key", F.explode(F.array(*(F.col("page") + d for d in range(-reach, reach + 1) if d))).alias("page")).distinct()
-    recurring = near.join(pages, ["_key", "page"], "left_semi").withColumn("_recurs", F.lit(True))
-    return keyed.join(recurring, ["_key", "page"], "left").where(~(F.coalesce("_recurs", F.lit(False)) & F.col("edge"))).drop("_key", "_recurs")
+    doc = [c for c in ("doc",) if c in boxes.columns]
+    keyed = boxes.withColumn("_key", F.sha2(furniture_key(F.col("text")), 256))
+    pages = keyed.where("_key is not null").select(*doc, "_key", "page").distinct()
+    near = pages.select(*doc, "_key", F.explode(F.array(*(F.col("page") + d for d in range(-reach, reach + 1) if d))).alias("page")).distinct()
+    recurring = near.join(pages, [*doc, "_key", "page"], "left_semi").withColumn("_recurs", F.lit(True))
+    return keyed.join(recurring, [*doc, "_key", "page"], "left").where(~(F.coalesce("_recurs", F.lit(False)) & F.col("edge"))).drop("_key", "_recurs")
 
 
 def sections(boxes: DataFrame, marks: DataFrame) -> DataFrame:
@@ -28,13 +30,15 @@ def sections(boxes: DataFrame, marks: DataFrame) -> DataFrame:
 
     Marks of a page are found by a join on the page; boxes above the first mark
     of their page take the last mark of an earlier page, found in a window over
-    pages, of which there are few next to the boxes.
+    pages, of which there are few next to the boxes; with a column doc, documents
+    are apart and spread the window.
     """
-    per_page = marks.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("y", "title"))).alias("marks"))
-    pages = boxes.select("page").union(marks.select("page")).distinct().join(per_page, "page", "left")
-    before = F.last(F.element_at("marks", -1)["title"], ignorenulls=True).over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    doc = [c for c in ("doc",) if c in boxes.columns]
+    per_page = marks.groupBy(*doc, "page").agg(F.sort_array(F.collect_list(F.struct("y", "title"))).alias("marks"))
+    pages = boxes.select(*doc, "page").union(marks.select(*doc, "page")).distinct().join(per_page, [*doc, "page"], "left")
+    before = F.last(F.element_at("marks", -1)["title"], ignorenulls=True).over(Window.partitionBy(*doc).orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
     pages = pages.withColumn("carried", before)
-    joined = boxes.join(pages, "page", "left")
+    joined = boxes.join(pages, [*doc, "page"], "left")
     own = F.filter("marks", lambda m: m["y"] <= F.col("y"))
     title = F.when(F.size(own) > 0, F.element_at(own, -1)["title"]).otherwise(F.col("carried"))
     return joined.withColumn("title", title).drop("marks", "carried")

@@ -437,13 +437,13 @@ def boundary_truncation(spark, sf_dir):
 
 # Page layout on boxes made from the documents
 
-SQL_BOXES = """boxes AS (SELECT doc_id // 10 AS page, CAST(doc_id % 10 AS DOUBLE) AS y, CASE WHEN doc_id % 10 = 0 THEN 'Running head ' || CAST(doc_id // 10 AS VARCHAR) ELSE substr(text, 1, 40) END AS text, doc_id FROM documents)"""
+SQL_BOXES = """boxes AS (SELECT doc_id // 10 AS page, CAST(doc_id % 10 AS DOUBLE) AS y, CASE WHEN doc_id % 10 = 0 THEN 'Running head ' || CAST(doc_id // 10 AS VARCHAR) ELSE text END AS text, doc_id FROM documents)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t.read(spark, sf_dir, "documents")
     page = F.floor(F.col("doc_id") / 10)
-    text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Running head "), page.cast("string"))).otherwise(F.substring("text", 1, 40))
+    text = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Running head "), page.cast("string"))).otherwise(F.col("text"))
     return d.select(page.alias("page"), (F.col("doc_id") % 10).cast("double").alias("y"), text.alias("text"), "doc_id")
 
 

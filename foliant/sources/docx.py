@@ -7,29 +7,36 @@ import re
 import zipfile
 from xml.etree import ElementTree as ET
 
-#: Named groups id, trigger and text of a box that announces a change.
-AMENDMENTS = (re.compile(r"(?s)^\s*(?:Pending\s+)?Amendment\s*\[(?P<id>[^\]]+)\]\s*[,:—-]?\s*(?:effective\s+upon|upon)\s+(?P<trigger>[^\n:]+)[:\n]\s*(?P<text>.+)$", re.I),)
-MONO = re.compile(r"mono|courier|consol|code|menlo|typewriter", re.I)
+from foliant.functions.text import is_monospace
+
+# The box that announces a change, "[id: instruction upon ... implementation of trigger:] body"; a pattern may go without the trigger.
+AMENDMENTS = (
+    re.compile(
+        r"(?s)^\[(?P<id>(?:OBD|NPRR)\w+(?:\s+and\s+(?:OBD|NPRR)\w+)*):\s*(?P<instruction>.+?)"
+        r"(?:\s+upon\s+.*?implementation\s+of\s+(?P<trigger>(?:NPRR|OBD)\w+(?:;\s*or\s+.*?(?:NPRR|OBD)\w+)*))[^]]*:\]\s*(?P<body>.+)$"
+    ),
+)
+# Paragraph styles of code, languages that a style may name, and what code of a language starts with.
+CODE_STYLES = ("code", "html code", "preformatted text", "source code", "macro text", "plain text", "console", "listing")
+LANGUAGES = ("python", "javascript", "java", "go", "rust", "sql", "shell", "bash")
+STARTS = {"#!/": "shell", "def ": "python", "import ": "python", "class ": "python", "SELECT ": "sql", "INSERT ": "sql"}
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def guess_language(style: str, text: str) -> str | None:
-    """A language from the style's name or the code's first signs."""
-    for name in ("python", "sql", "bash", "javascript", "java", "json", "xml", "yaml"):
-        if name in style.lower():
-            return name
-    if text.startswith("#!/"):
-        return "bash"
-    if re.search(r"^(def |import |class |from \w+ import )", text, re.M):
-        return "python"
-    return "sql" if re.search(r"^(SELECT|INSERT) ", text, re.M) else None
+    """A language that the style's name holds, or the one that code starts like this in."""
+    named = [x for x in LANGUAGES if x in style.lower()]
+    return next(iter(named + [language for start, language in STARTS.items() if text.startswith(start)]), None)
 
 
 def amendment(text: str, patterns=AMENDMENTS) -> str | None:
-    for p in patterns:
-        if m := p.search(text):
-            return f"[PENDING AMENDMENT — {m['id'].strip()}, effective upon {m['trigger'].strip()}] {m['text'].strip()}"
-    return None
+    """The box's text under a line that names the change and, where the pattern finds one, its trigger."""
+    found = next((m for p in patterns if (m := p.match(text))), None)
+    if found is None:
+        return None
+    part = {"trigger": None} | found.groupdict()
+    head = ", effective upon ".join(x for x in (part["id"], part["trigger"]) if x)
+    return f"[PENDING AMENDMENT — {head}]\n{part['instruction'].strip().rstrip('.')}:\n{part['body'].strip()}"
 
 
 def _text(e: ET.Element) -> str:
@@ -89,7 +96,8 @@ def parse_docx(data: bytes, patterns=AMENDMENTS) -> tuple[dict, list[tuple]]:
                 stack[:] = [h for h in stack if h[0] < depth] + [(depth, text.strip())]
                 continue
             fonts = [f.get(_W + "ascii") or "" for f in e.iter(_W + "rFonts")]
-            kind = "code" if MONO.search(style) or (fonts and all(MONO.search(f) for f in fonts)) else "text"
+            named = style.lower() in CODE_STYLES or is_monospace(style)
+            kind = "code" if named or (fonts and all(map(is_monospace, fonts))) else "text"
             if kind != held_kind:
                 flush()
             held_kind, held_style = kind, style

@@ -13,10 +13,10 @@ from foliant.sources.html_blocks import html_blocks
 
 # File stems of matter outside the table of contents, and their labels.
 MATTER = {
-    "cover": "Cover", "titlepage": "Title Page", "halftitle": "Half Title", "copyright": "Copyright", "dedication": "Dedication", "toc": "Table of Contents",
-    "contents": "Contents", "preface": "Preface", "foreword": "Foreword", "introduction": "Introduction", "prologue": "Prologue", "epilogue": "Epilogue",
-    "acknowledgments": "Acknowledgments", "acknowledgements": "Acknowledgements", "index": "Index", "glossary": "Glossary", "bibliography": "Bibliography",
-    "appendix": "Appendix", "colophon": "Colophon",
+    "cover": "Cover", "toc": "Table of Contents", "contents": "Table of Contents", "copyright": "Copyright", "copyrights": "Copyright", "title": "Title Page",
+    "titlepage": "Title Page", "title-page": "Title Page", "dedication": "Dedication", "preface": "Preface", "foreword": "Foreword", "introduction": "Introduction",
+    "intro": "Introduction", "acknowledgements": "Acknowledgements", "acknowledgments": "Acknowledgements", "about": "About", "colophon": "Colophon",
+    "halftitle": "Half Title", "half-title": "Half Title",
 }
 
 
@@ -35,7 +35,7 @@ def _text(e: ET.Element) -> str:
 def matter_label(href: str) -> str:
     """A label from the file's stem: a known name, a stem that starts or ends with one, else the stem in title case."""
     stem = posixpath.splitext(posixpath.basename(href))[0]
-    key = re.sub(r"[^a-z]", "", stem.lower())
+    key = stem.lower()
     if key in MATTER:
         return MATTER[key]
     near = next((v for k, v in MATTER.items() if key.startswith(k) or key.endswith(k)), None)
@@ -93,6 +93,19 @@ def _ncx(doc: ET.Element, base: str) -> dict[str, tuple[str, ...]]:
     return toc
 
 
+def _places(toc: dict[str, tuple[str, ...]], href: str) -> tuple[tuple[str, ...], dict[str, tuple[str, ...]]]:
+    """The path that a file begins with, and the paths of the ids in it.
+
+    A file with ids only begins with the first one's path.  Beside a path of its
+    own, ids count that lie below it, beside it or its parents, or below another id.
+    """
+    own, inside = toc.get(href), {h.partition("#")[2]: p for h, p in toc.items() if h.startswith(f"{href}#")}
+    if own is None:
+        return next(iter(inside.values()), ()), inside
+    parents = {own[:i] for i in range(len(own) + 1)} | set(inside.values())
+    return own, {x: p for x, p in inside.items() if p[:-1] in parents or p[: len(own)] == own}
+
+
 def parse_epub(data: bytes) -> tuple[dict, list[tuple]]:
     """(metadata, blocks); a block is (content, kind, path, language, file)."""
     book = zipfile.ZipFile(io.BytesIO(data))
@@ -117,15 +130,9 @@ def parse_epub(data: bytes) -> tuple[dict, list[tuple]]:
         if item is None or where(item) not in book.namelist():
             continue
         href, page = where(item), book.read(where(item)).decode("utf-8", "replace")
-        path = toc.get(href)
-        if path is None:
-            anchored = next((p for h, p in toc.items() if h.partition("#")[0] == href), None)
-            path = anchored[:-1] if anchored else None
-        found = html_blocks(page)
-        if path is None:
-            heading = next((p for _, _, p, _ in found if p), None)
-            path = () if heading else (matter_label(href),)
-        for content, kind, headings, language in found:
-            inner = headings[1:] if path and headings and headings[0].lower() == path[-1].lower() else headings
-            blocks.append((content, kind, path + tuple(inner), language, href))
+        path, anchors = _places(toc, href)
+        found = html_blocks(page, path, anchors)
+        if not path and not any(p for _, _, p, _ in found):
+            found = html_blocks(page, (matter_label(href),))
+        blocks += [(content, kind, where_, language, href) for content, kind, where_, language in found]
     return meta, blocks

@@ -23,11 +23,15 @@ def is_drawing(text: str) -> bool:
 
 
 class Blocks(HTMLParser):
-    """Blocks as (content, kind, path, language); headings give the path below `base`."""
+    """Blocks as (content, kind, path, language); headings give the path below `base`.
 
-    def __init__(self, base: tuple[str, ...] = ()):
+    From an element with an id in `anchors` on, that path is the base.
+    """
+
+    def __init__(self, base: tuple[str, ...] = (), anchors: dict[str, tuple[str, ...]] | None = None):
         super().__init__(convert_charrefs=True)
         self.base, self.headings, self.out = base, [], []
+        self.anchors = anchors or {}
         self.text: list[str] = []
         self.skip = self.pre = self.math = 0
         self.heading: int | None = None
@@ -36,7 +40,9 @@ class Blocks(HTMLParser):
 
     @property
     def path(self) -> tuple[str, ...]:
-        return self.base + tuple(x for _, x in self.headings)
+        """The base and the headings; a heading that repeats the end of the base counts once."""
+        below = tuple(x for _, x in self.headings)
+        return self.base + below[bool(self.base and below and below[0].lower() == self.base[-1].lower()) :]
 
     def emit(self) -> None:
         raw = "".join(self.text)
@@ -54,6 +60,11 @@ class Blocks(HTMLParser):
         self.out.append((raw.strip("\n") if kind == "diagram" else text, kind, self.path, None))
 
     def handle_starttag(self, tag, attrs):
+        here = next((v for k, v in attrs if k in ("id", "name") and v in self.anchors), None)
+        if here is not None and not self.skip:
+            if self.rows is None and not self.pre:
+                self.emit()
+            self.base, self.headings = self.anchors[here], []
         if tag in SKIPPED:
             self.skip += 1
         elif self.rows is not None:
@@ -119,8 +130,8 @@ class Blocks(HTMLParser):
             self.emit()
 
 
-def html_blocks(page: str | None, base: tuple[str, ...] = ()) -> list[tuple[str, str, tuple[str, ...], str | None]]:
-    parser = Blocks(base)
+def html_blocks(page: str | None, base: tuple[str, ...] = (), anchors: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, str, tuple[str, ...], str | None]]:
+    parser = Blocks(base, anchors)
     parser.feed(page or "")
     parser.close()
     return parser.out

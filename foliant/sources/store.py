@@ -1,8 +1,9 @@
 """The library as versioned Parquet tables, with backup and restore.
 
-A write makes a new version folder and then replaces the one-line CURRENT
-file, so readers see the old state or the new one.  Everything goes through
-Spark's readers and writers and Hadoop's file system, so any store will do.
+A write makes a new version folder and then a numbered file in ``versions``
+that names it.  Such a file is made only if its number is free and never changed,
+so readers see the old state or the new one, and of two writers one fails.
+Everything goes through Spark's readers and writers and Hadoop's file system.
 """
 
 from __future__ import annotations
@@ -40,30 +41,38 @@ class Store:
             return None
         return "\n".join(r[0] for r in self.spark.read.text(path).collect())
 
+    def _current(self) -> tuple[int, str | None]:
+        """Number and folder of the newest version whose file is complete; 0 and None before the first."""
+        folder = self._path(f"{self.root}/versions")
+        names = sorted((s.getPath().getName() for s in self._fs.listStatus(folder) if s.getLen()), reverse=True) if self._fs.exists(folder) else []
+        return (int(names[0]), self._read_text(f"versions/{names[0]}")) if names else (0, None)
+
     def exists(self) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/CURRENT"))
+        return self._current()[1] is not None
 
     def read(self, name: str) -> DataFrame:
         """A table of the current version; empty before the first write."""
-        version = self._read_text("CURRENT")
+        version = self._current()[1]
         if version is None:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{version}/{name}")
 
     def write(self, **tables: DataFrame) -> str:
         """A new version with the given tables; the others are taken over."""
-        version = f"v-{uuid.uuid4().hex}"
+        version, number = f"v-{uuid.uuid4().hex}", self._current()[0] + 1
         for name in TABLES:
             df = tables.get(name)
             df = self.read(name) if df is None else df
             df.write.parquet(f"{self.root}/{version}/{name}")
-        self._write_text("CURRENT", version)
+        out = self._fs.create(self._path(f"{self.root}/versions/{number:010d}"), False)  # fails if another writer was first
+        out.write(bytearray(version.encode()))
+        out.close()
         return version
 
     def add(self, books: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> str:
         """Replace or add books with their chunks, and with the vectors if there are any."""
         ids = books.select("book_id").distinct()
-        rest = {n: self.read(n).join(F.broadcast(ids), "book_id", "left_anti") for n in TABLES}
+        rest = {n: self.read(n).join(ids, "book_id", "left_anti") for n in TABLES}
         align = lambda df, name: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in ((f.name, f.dataType) for f in self.read(name).schema)))
         new = {"books": books, "chunks": chunks} | ({"vectors": vectors} if vectors is not None else {})
         return self.write(**{n: rest[n].select(*self.read(n).columns).unionByName(align(new[n], n)) if n in new else rest[n] for n in TABLES})

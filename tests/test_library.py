@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as tx
 from foliant.operators import chunker, intake, layout
 from foliant.sources import files
-from foliant.sources.docx import amendment, parse_docx
+from foliant.sources.docx import amendment, guess_language, parse_docx
 from foliant.sources.epub import matter_label, parse_epub
 from foliant.sources.html_blocks import html_blocks
 from foliant.sources.store import Store, export_paths
@@ -97,7 +97,8 @@ def test_text_functions(spark):
     assert one(spark, tx.truncate_at_boundary(F.lit("short"), 14)) == "short"
     assert one(spark, tx.dehyphenate(F.lit("exam-\nple"))) == "example"
     assert one(spark, tx.looks_like_file_name(F.lit("my_big-book_v2"))) and not one(spark, tx.looks_like_file_name(F.lit("My Big Book")))
-    assert one(spark, tx.monospace(F.lit("ABCDEF+CourierNew"))) and not one(spark, tx.monospace(F.lit("Times")))
+    for font, fixed in (("ABCDEF+CourierNew", True), ("Lucida Console", True), ("NimbusMonL-Regu", True), ("SFTT1000", True), ("ABCDEF+txtt", True), ("CMTT10", True), ("FiraCode-Regular", True), ("Times", False), ("NimbusRomNo9L-Regu", False)):
+        assert one(spark, tx.monospace(F.lit(font))) == fixed == tx.is_monospace(font)
     assert one(spark, tx.normalize_unicode(F.lit("Ÿ ﬁ É"))) == "y fi e"
     rows = F.array(F.array(F.lit("a"), F.lit("b|c")), F.array(F.lit("1"), F.lit("2")))
     assert one(spark, tx.table_text(rows)) == "| a | b\\|c |\n| --- | --- |\n| 1 | 2 |"
@@ -128,7 +129,7 @@ def docx():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda text, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
     cell = lambda text: f"<w:tc>{p(text)}</w:tc>"
-    body = p("Intro", "Heading1") + p("First.") + p("Second.") + p("def f():", "Code mono") + p("Deep", "Heading2") + f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl>" + f"<w:tbl><w:tr>{cell('Amendment [X-1], effective upon vote: New text')}</w:tr></w:tbl>"
+    body = p("Intro", "Heading1") + p("First.") + p("Second.") + p("def f():", "Code mono") + p("Deep", "Heading2") + f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl>" + f"<w:tbl><w:tr>{cell('[OBDRR046:  Replace the paragraph above with the following upon system implementation of NPRR1188:] New text')}</w:tr></w:tbl>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
@@ -139,14 +140,39 @@ def test_epub():
     meta, blocks = parse_epub(epub())
     assert meta["authors"] == ["Ann", "Bo"] and meta["isbn"] == "9780134685991" and meta["structure_source"] == "toc"
     assert [(b[0], b[2]) for b in blocks] == [("All rights.", ("Copyright",)), ("One", ("Part I", "One")), ("Hello.", ("Part I", "One")), ("Sub", ("Part I", "One", "Sub")), ("World.", ("Part I", "One", "Sub"))]
-    assert matter_label("x/my-notes.xhtml") == "My Notes"
+    labels = {"my-notes": "My Notes", "title": "Title Page", "contents": "Table of Contents", "intro": "Introduction", "acknowledgments": "Acknowledgements", "preface_01": "Preface"}
+    assert {k: matter_label(f"x/{k}.xhtml") for k in labels} == labels
+
+
+def test_sections_inside_a_file():
+    page = '<body><p>Start.</p><h2 id="a">Alpha</h2><p>One.</p><h3>Deep</h3><p>Two.</p><div id="b"><p>Three.</p></div><p id="fig">Four.</p></body>'
+    got = [(c, p) for c, _, p, _ in html_blocks(page, ("Book",), {"a": ("Book", "Alpha"), "b": ("Book", "Beta")})]
+    assert got == [("Start.", ("Book",)), ("Alpha", ("Book", "Alpha")), ("One.", ("Book", "Alpha")), ("Deep", ("Book", "Alpha", "Deep")), ("Two.", ("Book", "Alpha", "Deep")), ("Three.", ("Book", "Beta")), ("Four.", ("Book", "Beta"))]
+
+
+def test_store_versions(spark, tmp_path):
+    """A version counts when its file is complete, and a number is taken once."""
+    one = Store(spark, f"{tmp_path}/lib")
+    assert not one.exists() and one.write() and one.exists()
+    (tmp_path / "lib/versions/0000000002").touch()
+    assert one._current()[0] == 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        one.write()
+
+
+def test_layout_keeps_documents_apart(spark):
+    rows = [("x", 1, 0.0, "Head 1", True), ("x", 2, 0.0, "Head 2", True), ("y", 1, 0.0, "Other", True), ("x", 3, 0.0, "Other", True), ("x", 2, 5.0, "Body", False)]
+    boxes = spark.createDataFrame(rows, "doc string, page int, y double, text string, edge boolean")
+    assert {(r.doc, r.text) for r in layout.without_furniture(boxes).collect()} == {("y", "Other"), ("x", "Other"), ("x", "Body")}
+    marks = spark.createDataFrame([("x", 1, 0.0, "Part"), ("y", 9, 0.0, "Late")], "doc string, page int, y double, title string")
+    assert {(r.doc, r.page, r.title) for r in layout.sections(boxes, marks).collect()} == {("x", 1, "Part"), ("x", 2, "Part"), ("x", 3, "Part"), ("y", 1, None)}
 
 
 def test_docx():
     _, blocks = parse_docx(docx())
     assert [(b[1], b[2]) for b in blocks] == [("text", ("Intro",)), ("code", ("Intro",)), ("table", ("Intro", "Deep")), ("text", ("Intro", "Deep"))]
-    assert blocks[0][0] == "First.\n\nSecond." and blocks[1][3] == "python" and blocks[3][0].startswith("[PENDING AMENDMENT — X-1, effective upon vote]")
-    assert amendment("nothing") is None
+    assert blocks[0][0] == "First.\n\nSecond." and blocks[1][3] == "python" and blocks[3][0].startswith("[PENDING AMENDMENT — OBDRR046, effective upon NPRR1188]\nReplace the paragraph above with the following:\nNew text")
+    assert amendment("nothing") is None and guess_language("Rust code", "x") == "rust" and guess_language("Code", "#!/bin/sh") == "shell" and guess_language("Code", "x\nimport y") is None
 
 
 def test_files_store_backup_and_stream(spark, tmp_path):
