@@ -46,7 +46,12 @@ def phrases(query: str) -> list[Phrase]:
 
 
 def bm25(chunks: DataFrame, query: str, match_all: bool = False, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(chunk_id, bm25) of the chunks that match; statistics cover all of `chunks`.
+    """(chunk_id, bm25) of the chunks that match any term, or all of them."""
+    return scored(chunks, query, match_all, id_col, text_col).select(id_col, "bm25")
+
+
+def scored(chunks: DataFrame, query: str, match_all: bool = False, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """(chunk_id, bm25, every) of the chunks that match; `every` tells which have all terms, and statistics cover all of `chunks`.
 
     Terms are counted inside the scan and only numbers leave it: one row of
     statistics is broadcast back, so nothing is shuffled however large the
@@ -54,7 +59,7 @@ def bm25(chunks: DataFrame, query: str, match_all: bool = False, id_col: str = "
     """
     terms = phrases(query)
     if not terms:
-        return chunks.select(id_col, F.lit(0.0).alias("bm25")).limit(0)
+        return chunks.select(id_col, F.lit(0.0).alias("bm25"), F.lit(True).alias("every")).limit(0)
     folded = fold(F.col(text_col))
     # The generator keeps later filters above it, so each text is folded once.
     counts = F.transform(F.array(folded), lambda t: F.struct(F.regexp_count(t, F.lit(f"{_IN}+")).alias("dl"), *(p.count(t).alias(f"tf{i}") for i, p in enumerate(terms))))
@@ -66,9 +71,9 @@ def bm25(chunks: DataFrame, query: str, match_all: bool = False, id_col: str = "
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))
     )
     hit = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    rule = hit[0]
+    every, any_ = hit[0], hit[0]
     for h in hit[1:]:
-        rule = rule & h if match_all else rule | h
+        every, any_ = every & h, any_ | h
 
     def part(i: int) -> Column:
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
@@ -79,7 +84,8 @@ def bm25(chunks: DataFrame, query: str, match_all: bool = False, id_col: str = "
     total = part(0)
     for i in range(1, len(terms)):
         total = total + part(i)
-    return counted.where(rule).crossJoin(F.broadcast(stats)).select(id_col, F.round(total, 9).alias("bm25"))
+    found = counted.where(every if match_all else any_).crossJoin(F.broadcast(stats))  # one row
+    return found.select(id_col, F.round(total, 9).alias("bm25"), every.alias("every"))
 
 
 def ranked(hits: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
@@ -88,6 +94,18 @@ def ranked(hits: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
     return best.withColumn("kw_rank", F.row_number().over(Window.orderBy(F.desc("bm25"), id_col)))
 
 
+def ranked_both(hits: DataFrame, limit: int, id_col: str = "chunk_id") -> DataFrame:
+    """The best of scored hits by any term and by every term, from one pass.
+
+    kw_rank is the place among all hits, null beyond `limit`.  Tasks cut each
+    kind to `limit` rows before they are shuffled.
+    """
+    by = [F.desc("bm25"), F.col(id_col)]
+    best = hits.withColumn("_place", F.row_number().over(Window.partitionBy("every").orderBy(*by))).where(F.col("_place") <= limit).drop("_place")
+    place = F.row_number().over(Window.orderBy(*by))  # over twice the limit
+    return best.withColumn("_place", place).withColumn("kw_rank", F.when(F.col("_place") <= limit, F.col("_place"))).drop("_place")
+
+
 def rank_score(rank: Column) -> Column:
     """Score of a rank in a keyword-only search: the first is 1."""
     return F.lit(RRF_K + 1.0) / (RRF_K + rank)
