@@ -61,13 +61,19 @@ def scored(chunks: DataFrame, query: str, match_all: bool = False, id_col: str =
     if not terms:
         return chunks.select(id_col, F.lit(0.0).alias("bm25"), F.lit(True).alias("every")).limit(0)
     folded = fold(F.col(text_col))
-    # The generator keeps later filters above it, so each text is folded once.
-    counts = F.transform(F.array(folded), lambda t: F.struct(F.regexp_count(t, F.lit(f"{_IN}+")).alias("dl"), *(p.count(t).alias(f"tf{i}") for i, p in enumerate(terms))))
-    some = terms[0].possible(folded)
-    for p in terms[1:]:
-        some = some & p.possible(folded) if match_all else some | p.possible(folded)
-    counted = chunks.where(some).select(id_col, F.explode(counts).alias("c")).select(id_col, "c.*")
-    stats = chunks.select(F.explode(counts).alias("c")).select("c.*").agg(
+
+    def numbers(t: Column) -> Column:
+        return F.struct(F.regexp_count(t, F.lit(f"{_IN}++")).alias("dl"), *(p.count(t).alias(f"tf{i}") for i, p in enumerate(terms)))
+
+    def possible(t: Column) -> Column:
+        some = terms[0].possible(t)
+        for p in terms[1:]:
+            some = some & p.possible(t) if match_all else some | p.possible(t)
+        return some
+
+    # As a lambda's argument a text is folded once, and the generator keeps filters above it: below, a filter would fold for each term.
+    counted = chunks.select(id_col, F.explode(F.transform(F.array(folded), lambda t: F.when(possible(t), numbers(t)))).alias("c")).where("c is not null").select(id_col, "c.*")
+    stats = chunks.select(F.explode(F.transform(F.array(folded), numbers)).alias("c")).select("c.*").agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))
     )
     hit = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
