@@ -549,7 +549,7 @@ def test_pipeline(spark, tmp_path):
     ids = [{r.doc_id for r in df.select("doc_id").collect()} for df in kept]
     assert all(df.columns == ["doc_id", "text", "lang", "source", "n_chars"] for df in kept[:4])
     assert ids[0] == set(range(120)) | set(range(180, 184))
-    near = h.components([r for r in rows if r[0] in ids[0]])
+    near = h.components([r for r in rows if r[0] in ids[0]], 80)
     assert ids[1] == {d for d, c in near.items() if d == c} and 180 not in ids[1] and 181 not in ids[1]
     assert ids[2] == ids[1] - {182} and ids[3] == ids[2] == ids[4]
     redacted = kept[3].where("doc_id = 183").first()
@@ -557,3 +557,25 @@ def test_pipeline(spark, tmp_path):
     total = sum(len(ids_of(r.text)) for r in kept[3].collect())
     assert kept[4].agg(F.sum("length")).first()[0] == total
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_stages_on_odd_rows(spark, tmp_path, some):
+    """Nulls, empty texts, rows that share an id, columns named like results, and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    text = " ".join(h.words(rng, 60))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text, None, None, None), (None, text, "en", "s", 9), (None, None, "en", "s", 9), (3, None, "en", "s", 9), (4, "", "en", "s", 0)] * some
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = clash(h.frame(spark, rows))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+    kept = sorted((r.doc_id or 0, r.text) for r in docs.where("text is not null").collect())
+    assert kept == ([(0, text), (1, text), (1, text), (4, "")] if some else [])
+    assert docs.where("text is null").count() == 2 * some
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.agg(F.sum("length")).first()[0] == (sum(len(ids_of(t)) for t in (text, text, text, "", None, None)) if some else None)
