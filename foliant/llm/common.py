@@ -115,27 +115,28 @@ def hot_floor(total: float, least: int = HOT_LEAST) -> int:
 def hot_keys(counts: DataFrame, key: str, n: str, least: int = HOT_LEAST) -> list[tuple]:
     """(key, tasks) of the hot keys among `counts`, which has one row a key; at most HOT_SHARE of them."""
     floor = hot_floor(counts.agg(F.sum(n)).first()[0] or 0, least)
-    return [(r[0], -(-r[1] // floor)) for r in counts.where(F.col(n) > floor).select(key, n).collect()]
+    return list({r[0]: -(-r[1] // floor) for r in counts.where(F.col(n) > floor).select(key, n).orderBy(n).collect()}.items())
 
 
-def join_unique(big: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", least: int = HOT_LEAST, counts: DataFrame | None = None) -> DataFrame:
+def join_unique(big: DataFrame, unique: DataFrame, key: str, spread: str, how: str = "inner", least: int = HOT_LEAST, counts: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """big join unique on key, where unique has one row (or few) a key and big may have hot keys.
 
     The list of hot keys is bounded by HOT_SHARE, so it is gathered and broadcast.  Rows of a hot
     key in `big` are dealt by a hash of `spread` over as many tasks as its count asks for, and only
     its rows in `unique` are repeated as often.  A caller that has written the rows a key already
-    gives them as `counts` (key, n).  Columns of other names are kept, whatever they are called.
+    gives them as `counts` (key, n).  Rows also have to agree in the columns `also`, which need not
+    be spread.  Columns of other names are kept, whatever they are called.
     """
     hot = hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts, key, "n", least)
     if not hot:
-        return big.join(unique, key, how)
+        return big.join(unique, [key, *also], how)
     salt, tasks = (fresh(x, big, unique) for x in ("_salt", "_tasks"))
     listed = F.broadcast(big.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, big.schema[key].dataType), T.StructField(tasks, T.IntegerType())])))
     nulls = next((n for k, n in hot if k is None), 1)  # they match nothing, but are rows of the result too
     shares = F.when(F.col(key).isNull(), nulls).otherwise(F.coalesce(tasks, F.lit(1)))
     dealt = big.join(listed, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), shares).cast("int")).drop(tasks)
     repeated = unique.join(listed, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(tasks, F.lit(1)) - 1))).drop(tasks)
-    return dealt.join(repeated, [key, salt], how).drop(salt)
+    return dealt.join(repeated, [key, *also, salt], how).drop(salt)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

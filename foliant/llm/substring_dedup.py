@@ -16,7 +16,8 @@ while short lines that many documents share stay.
 Not all windows are shuffled.  The smallest hash of the shorter grams inside a
 window is its anchor; equal windows have equal anchors.  Anchors (about one in
 eleven words) are grouped first, along with the units, and only windows whose
-anchor occurs twice are grouped after that.  This loses no repeated window.
+anchor occurs twice are grouped after that, in one row for each anchor.  This
+loses no repeated window.
 
 The result has one row for each removed run with its offsets in the original
 text (code points, end exclusive); ``cut`` removes them from the texts.
@@ -31,16 +32,17 @@ A text of any length is read whole; it has to fit a task.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from foliant.llm.common import SLICE, WORD, fresh, join_unique, list_values, materialise
+from foliant.llm.common import SLICE, WORD, fresh, hot_keys, join_unique, list_values, materialise
 
 _ENDS = re.compile(r"[.!?…][\"'”’)\]]*$")
 _OUTER = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
@@ -145,12 +147,13 @@ class Texts:
             return
         starts = np.arange(m - gram + 1)
         self.grams = self.hashes(starts, starts + gram, 2)
-        keys, n = self.grams[:, 0], len(inside)
-        best, where = keys[:n].copy(), starts[:n].copy()
-        for k in range(1, reach):
-            less = keys[k : k + n] < best
-            best[less] = keys[k : k + n][less]
-            where[less] = starts[k : k + n][less]
+        least, where, span = self.grams[:, 0], starts, 1
+        while span < reach:  # the smallest of `span` grams in a row, the first of equal ones
+            step = min(span, reach - span)
+            less = least[step:] < least[:-step]
+            where = np.where(less, where[step:], where[:-step])
+            least = np.where(less, least[step:], least[:-step])
+            span += step
         #: First solid word of each window, and the first solid word of its anchor.
         self.window, self.anchor = np.flatnonzero(inside), where[inside]
 
@@ -179,38 +182,48 @@ def _arrow(out: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def _marks(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the units and anchors of each text, and whether one occurs twice in it."""
+    """Hashes of the units and anchors of each text (h2 is 0 for anchors), with the words that repeats of each may remove.
+
+    An anchor stands for `min_words` words.  `own` is the same for repeats inside the text.
+    """
     words = Words()
     for keys, texts in _batches(batches):
         made, out = Texts(texts, words, min_words), []
         for key, (u, w) in zip(keys, made.ranges(), strict=True):
-            found = np.concatenate([made.unit[u], made.grams[np.unique(made.anchor[w])]])
-            if key is not None and len(found):
-                _, at = np.unique(found[:, 0] ^ found[:, 1], return_index=True)
-                out.append((key, found[at, 0], found[at, 1], len(at) < len(found)))
-        yield _arrow(out, {"doc_id": pa.int64(), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int64()), "own": pa.bool_()})
+            grams = made.grams[np.unique(made.anchor[w]), 0]
+            if key is None or not len(made.unit[u]):
+                continue
+            h1, h2 = np.concatenate([made.unit[u, 0], grams]), np.concatenate([made.unit[u, 1], np.zeros(len(grams), np.int64)])
+            lengths = np.concatenate([made.end[u] - made.begin[u], np.full(len(grams), min_words)])
+            _, at, same = np.unique(h1 ^ h2, return_index=True, return_inverse=True)
+            total = np.bincount(same, weights=lengths).astype(np.int64)
+            out.append((key, h1[at], h2[at], np.minimum(total, min_words), int((total - lengths[at]).sum())))
+        yield _arrow(out, {"doc_id": pa.int64(), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int64()), "n": pa.list_(pa.int32()), "own": pa.int64()})
 
 
-def _runs_of(covered: np.ndarray) -> np.ndarray:
-    """(begin, end) of the runs of true values."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    return edges.reshape(-1, 2)
+_PASSAGES = "doc_id long, places binary, firsts array<long>, own array<int>, anchors array<struct<a: long, at: int, w: array<long>>>"
 
 
-_PASSAGES = "doc_id long, begins array<int>, stops array<int>, starts array<int>, ends array<int>, h1 array<long>, h2 array<long>, firsts array<long>"
+def _lists(parts: list, values: pa.Array) -> pa.Array:
+    """`values` cut into lists as long as `parts` are."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
 
 
 def _passages(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated units of each text, with their keepers in `firsts`, and then the windows whose anchor is repeated, with their hashes.
+    """The repeated units of each text, with their keepers in `firsts`, and then the windows whose anchor is repeated.
 
-    begins and stops count words, starts and ends characters.  Texts without
-    room for a run have no row.
+    `places` packs the first word, the word after the last, and the same in
+    characters of each.  `own` numbers the windows that repeat an earlier one of
+    the text without overlap; `anchors` holds for each anchor the number of its
+    first window and half hashes of its windows.  Texts without room for a run
+    have no row.
     """
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    kinds = {"doc_id": pa.int64(), "begins": ints, "stops": ints, "starts": ints, "ends": ints, "h1": longs, "h2": longs, "firsts": longs}
+    longs = pa.list_(pa.int64())
+    kinds = {"doc_id": pa.int64(), "places": pa.binary(), "firsts": longs, "own": pa.list_(pa.int32())}
     words = Words()
     for keys, texts, *rep in _batches(batches):
         made, out = Texts(texts, words, min_words), []
+        anchors: list[tuple] = []
         for i, (key, text, r1, first, (u, w)) in enumerate(zip(keys, texts, *rep, made.ranges(), strict=True)):
             zero, n = made.first[i], made.first[i + 1] - made.first[i]
             # The list holds marks of this document alone, so half of a digest tells them apart.
@@ -221,55 +234,85 @@ def _passages(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             _, earliest, same = np.unique(mine, return_index=True, return_inverse=True)
             repeated = np.flatnonzero(told | (earliest[same] != np.arange(len(mine))))
             at, firsts = u.start + repeated, np.where(told, keeper, key)[repeated]
-            grams = made.grams[made.anchor[w], 0]
-            own, times = np.unique(made.grams[np.unique(made.anchor[w]), 0], return_counts=True)
-            s = made.window[w][np.isin(grams, np.concatenate([r1, own[times > 1]]))]
+            places, group = np.unique(made.anchor[w], return_inverse=True)
+            grams = made.grams[places, 0]
+            own, times = np.unique(grams, return_counts=True)
+            chosen = np.isin(grams, np.concatenate([r1, own[times > 1]]))[group]
+            s, group = made.window[w][chosen], group[chosen]
             begins = np.concatenate([made.begin[at], made.at[s]]) - zero
             stops = np.concatenate([made.end[at], made.at[s + min_words - 1] + 1]) - zero
             covered = np.bincount(begins, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
             runs = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(covered[:n]) > 0, [0]]))).reshape(-1, 2)
             room = runs[runs[:, 1] - runs[:, 0] >= min_words]
-            if len(room):
-                inside = np.searchsorted(room[:, 0], begins, side="right") > np.searchsorted(room[:, 1], begins, side="right")
-                begins, stops, firsts = begins[inside], stops[inside], firsts[inside[: len(firsts)]]
-                spans = np.array([m.span() for m in WORD.finditer(text)], np.int32)
-                h = made.hashes(s, s + min_words, 3)  # windows are always inside
-                out.append((key, begins, stops, spans[begins, 0], spans[stops - 1, 1], h[:, 0], h[:, 1], firsts))
-        yield _arrow(out, kinds)
+            if not len(room):
+                continue
+            inside = np.searchsorted(room[:, 0], begins, side="right") > np.searchsorted(room[:, 1], begins, side="right")
+            begins, stops, firsts = begins[inside], stops[inside], firsts[inside[: len(firsts)]]  # windows are always inside
+            spans = np.array([m.span() for m in WORD.finditer(text)], np.int32)
+            packed = np.stack([begins, stops, spans[begins, 0], spans[stops - 1, 1]]).astype(np.int32)
+            h = made.hashes(s, s + min_words, 3)[:, 0]
+            _, earliest, same = np.unique(h, return_index=True, return_inverse=True)
+            apart = np.flatnonzero(stops[len(firsts) :][earliest[same]] <= begins[len(firsts) :])
+            heads = np.flatnonzero(np.diff(group, prepend=-1))
+            anchors.append((grams[group[heads]], heads, np.diff(np.append(heads, len(s))), h))
+            out.append((key, zlib.compress(np.diff(packed, axis=1, prepend=np.int32(0)).tobytes(), 1), firsts, apart))
+        a, heads, sizes, h = (np.concatenate(x) for x in zip(*anchors, strict=True)) if anchors else [np.zeros(0, np.int64)] * 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h))
+        each = pa.StructArray.from_arrays([pa.array(a), pa.array(heads, pa.int32()), lists], ["a", "at", "w"])
+        made_of = _arrow(out, kinds)
+        yield pa.RecordBatch.from_arrays([*made_of.columns, _lists([x[0] for x in anchors], each)], [*kinds, "anchors"])
 
 
 def _removed(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of words inside repeated units and windows."""
     kinds = dict.fromkeys(("doc_id", "start", "end", "n_words", "first_doc_id"), pa.int64())
     for rows in _batches(batches):
-        out: list[tuple] = []
-        for key, *lists in zip(*rows, strict=True):
-            begins, stops, starts, ends, h1, h2, firsts, r1, r2, first = (x.tolist() for x in lists)
-            keeper = dict(zip(zip(r1, r2, strict=True), first, strict=True))
-            seen: dict = {}
-            for b, e, h in zip(begins[len(firsts) :], stops[len(firsts) :], zip(h1, h2, strict=True), strict=True):
-                # A window repeats its own document only where the two do not overlap.
-                firsts.append(keeper.get(h, key if seen.setdefault(h, e) <= b else None))
-            found = sorted(x for x in zip(begins, stops, starts, ends, firsts, strict=True) if x[4] is not None)
-            held: list | None = None
-            for b, e, s, c, k in [*found, (2**31, 2**31, 0, 0, None)]:
-                if held and b <= held[1]:
-                    if e > held[1]:
-                        held[1], held[3] = e, c
-                    continue
-                if held and held[1] - held[0] >= min_words:
-                    out.append((key, held[2], held[3], held[1] - held[0], held[4]))
-                held = [b, e, s, c, k]
-        yield _arrow(out, kinds)
-
-
-def _keepers(table: DataFrame, label: str) -> DataFrame:
-    """(doc_id, h, first) of every hash (h1, h2) of a document that another document has too; first is the smallest."""
-    pairs = table.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("u")).select("doc_id", "u.h1", "u.h2")
+        parts = [[np.zeros(0, np.int64)] for _ in kinds]
+        for key, places, firsts, own, repeated, keepers in zip(*rows, strict=True):
+            begins, stops, starts, ends = np.cumsum(np.frombuffer(zlib.decompress(places), np.int32).reshape(4, -1), axis=1)
+            first, found = np.full(len(begins), key, np.int64), np.zeros(len(begins), bool)
+            units = len(firsts)
+            first[:units], found[:units] = firsts, True
+            found[units + own] = found[units + repeated] = True
+            first[units + repeated] = keepers
+            x = np.flatnonzero(found)
+            x = x[np.lexsort((first[x], stops[x], begins[x]))]
+            if not len(x):
+                continue
+            reach = np.maximum.accumulate(stops[x])
+            heads = np.flatnonzero(np.concatenate([[True], begins[x][1:] > reach[:-1]]))
+            length = reach[np.append(heads[1:], len(x)) - 1] - begins[x][heads]
+            enough = length >= min_words
+            runs = (starts[x][heads], np.maximum.reduceat(ends[x], heads), length, first[x][heads])
+            for part, column in zip(parts, (np.full(len(heads), key), *runs), strict=True):
+                part.append(column[enough])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).astype(np.int64)) for p in parts], list(kinds))
+
+
+def _keepers(pairs: DataFrame, key: str, also: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs with a hash (key, also) that another document has too, with the smallest of its documents as `first`; and (key, also, n)."""
     # A digest's ranks shrink to three numbers before they are shuffled, however often it occurs.
-    kept = pairs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
-    kept = materialise(kept.select(F.struct("h1", "h2").alias("h"), "first", "n"), f"kept_{label}")
-    return join_unique(pairs.select("doc_id", F.struct("h1", "h2").alias("h")), kept.drop("n"), "h", "doc_id", counts=kept.select("h", "n"))
+    kept = pairs.groupBy(key, also).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    kept = materialise(kept.select(key, also, "first", "n"), f"kept_{label}")
+    return join_unique(pairs, kept.drop("n"), key, "doc_id", counts=kept.select(key, "n"), also=(also,)), kept.select(key, also, "n")
+
+
+def _repeated_windows(found: DataFrame, hot: list[int]) -> DataFrame:
+    """(row, j, first) of each window that an earlier document has.
+
+    An anchor and half a digest tell windows apart.  Windows travel with their
+    anchor; those of hot anchors are counted one by one, and dealt over tasks.
+    """
+    rows = found.select("doc_id", "row", F.explode("anchors").alias("g")).select("doc_id", "row", "g.a", "g.at", "g.w")
+    each = ["doc_id", "row", "a", "at", F.posexplode("w").alias("k", "w")]
+    told = [F.col("row"), (F.col("at") + F.col("k")).alias("j"), F.col("first")]
+    listed = F.broadcast(found.sparkSession.createDataFrame([(a,) for a in hot], "a long"))
+    single = rows.join(listed, "a", "left_anti").repartition("a").select(*each)
+    out = single.withColumn("first", F.min("doc_id").over(Window.partitionBy("w", "a"))).where("first < doc_id").select(*told)
+    if hot:
+        kept, _ = _keepers(rows.join(listed, "a", "left_semi").select(*each), "w", "a", "windows")
+        out = out.union(kept.where("first < doc_id").select(*told))
+    return out
 
 
 def removed_runs(df: DataFrame, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,17 +321,21 @@ def removed_runs(df: DataFrame, min_words: int = 30, id_col: str = "doc_id", tex
     first_doc_id is the document that keeps the run's first passage.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    table = materialise(docs.mapInArrow(partial(_marks, min_words), "doc_id long, h1 array<long>, h2 array<long>, own boolean"), "marks")
-    # The keepers' own marks are there as well: their windows are what others are compared with.
-    marks = _keepers(table, "marks").select("doc_id", F.struct("h.h1", "first").alias("r"))
-    own = table.where("own").select("doc_id", F.lit(None).alias("r"))  # repeats inside the document
-    lists = materialise(marks.union(own).groupBy("doc_id").agg(F.collect_list("r").alias("r")), "lists")  # at most a document's marks
-    near = docs.join(lists, "doc_id").select("doc_id", "text", "r.h1", "r.first")
-    found = materialise(near.mapInArrow(partial(_passages, min_words), _PASSAGES), "passages")
-
-    windows = _keepers(found, "windows").where("doc_id <> first")
-    lists = windows.groupBy("doc_id").agg(F.collect_list(F.struct("h.h1", "h.h2", "first")).alias("r"))  # at most a document's windows
-    joined = found.join(materialise(lists, "repeated"), "doc_id", "left").select(*found.columns, *(F.col(f"r.{x}").alias(f"r_{x}") for x in ("h1", "h2", "first")))
+    table = materialise(docs.mapInArrow(partial(_marks, min_words), "doc_id long, h1 array<long>, h2 array<long>, n array<int>, own long"), "marks")
+    pairs = table.select("doc_id", F.explode(F.arrays_zip("h1", "h2", "n")).alias("u")).select("doc_id", "u.h1", "u.h2", "u.n")
+    marks, counts = _keepers(pairs, "h1", "h2", "marks")
+    hot = [a for a, _ in hot_keys(counts.where("h2 = 0"), "h1", "n")]
+    # The keepers' own anchors are there as well: their windows are what others are compared with.
+    marks = marks.where("h2 = 0 or first < doc_id").select("doc_id", "n", F.struct("h1", "first").alias("r"))
+    own = table.where("own > 0").select("doc_id", "own", F.lit(None).alias("r"))  # repeats inside the document
+    # Texts whose repeated marks have too few words for a run are not read again.  A list holds at most a document's marks.
+    lists = marks.union(own).groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("r").alias("r")).where(F.col("n") >= min_words)
+    near = docs.join(materialise(lists.drop("n"), "lists"), "doc_id").select("doc_id", "text", "r.h1", "r.first")
+    # Rows are numbered, as an id may stand in several.
+    found = materialise(near.mapInArrow(partial(_passages, min_words), _PASSAGES).withColumn("row", F.monotonically_increasing_id()), "passages")
+
+    windows = _repeated_windows(found, hot).groupBy("row").agg(F.collect_list(F.struct("j", "first")).alias("r"))  # at most a document's windows
+    joined = found.drop("anchors").join(windows, "row", "left").select("doc_id", "places", "firsts", "own", F.col("r.j").alias("j"), F.col("r.first").alias("keepers"))
     return joined.mapInArrow(partial(_removed, min_words), "doc_id long, start long, end long, n_words long, first_doc_id long")
 
 
