@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from foliant.llm.common import SLICE, WORD, fresh, hot_keys, join_unique, list_values, materialise
+from foliant.llm.common import SLICE, fresh, hot_keys, join_unique, list_values, materialise
 
 _ENDS = re.compile(r"[.!?…][\"'”’)\]]*$")
 _OUTER = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
@@ -181,6 +181,14 @@ def _arrow(out: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
 
 
+def _spans(text: str) -> np.ndarray:
+    """First character of each word, and the character after its last."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(c) + 2, np.int8)
+    inside[1:-1] = (c != 32) & ((c < 9) | (c > 13))
+    return np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+
+
 def _marks(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the units and anchors of each text (h2 is 0 for anchors), with the words that repeats of each may remove.
 
@@ -248,7 +256,7 @@ def _passages(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 continue
             inside = np.searchsorted(room[:, 0], begins, side="right") > np.searchsorted(room[:, 1], begins, side="right")
             begins, stops, firsts = begins[inside], stops[inside], firsts[inside[: len(firsts)]]  # windows are always inside
-            spans = np.array([m.span() for m in WORD.finditer(text)], np.int32)
+            spans = _spans(text)
             packed = np.stack([begins, stops, spans[begins, 0], spans[stops - 1, 1]]).astype(np.int32)
             h = made.hashes(s, s + min_words, 3)[:, 0]
             _, earliest, same = np.unique(h, return_index=True, return_inverse=True)

@@ -110,6 +110,39 @@ def test_passages_cut_at_arbitrary_words(spark):
     assert found == want and all(r.first_doc_id == r.doc_id - 1 and r.n_words == 51 for r in runs if r.doc_id < 81)
 
 
+def test_repeated_windows_by_brute_force(spark):
+    """Every window of 30 words that an earlier document has, with anchors in over 1000 documents."""
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [own(70) for _ in range(6)]
+    texts = []
+    for i in range(1300):
+        part = shared[0] if i % 10 else shared[1 + i // 10 % 5]
+        at, n = rng.randrange(20), rng.randrange(25, 51)
+        part = part[at : at + n]
+        if i % 7 == 0:
+            part = [*part[: n // 2], "é-x", *part[n // 2 + 1 :]]
+        texts.append("\u2003 ".join([" ".join(own(3)), " ".join(part)]) + "\n" + "  ".join(own(2)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], h.DOCS)
+    first: dict = {}
+    want = set()
+    for i, t in enumerate(texts):
+        words = [m.span() for m in common.WORD.finditer(t)]
+        keys = [tuple(t[a:b] for a, b in words[k : k + 30]) for k in range(len(words) - 29)]
+        runs: list = []
+        for k, key in enumerate(keys):
+            if first.get(key, i) < i:
+                if runs and k <= runs[-1][1]:
+                    runs[-1][1] = k + 30
+                else:
+                    runs.append([k, k + 30, first[key]])
+        for key in keys:
+            first.setdefault(key, i)
+        want |= {(i, words[b][0], words[e - 1][1], e - b, f) for b, e, f in runs}
+    assert len(want) > 900 and max(texts.count(t) for t in texts) == 1
+    assert {tuple(r) for r in substring_dedup.removed_runs(df).collect()} == want
+
+
 # 3
 
 
