@@ -116,7 +116,7 @@ def test_repeated_windows_by_brute_force(spark):
     own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     shared = [own(70) for _ in range(6)]
     texts = []
-    for i in range(1300):
+    for i in range(1700):
         part = shared[0] if i % 10 else shared[1 + i // 10 % 5]
         at, n = rng.randrange(20), rng.randrange(25, 51)
         part = part[at : at + n]
