@@ -47,12 +47,19 @@ def pack_ids(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     values = values.astype(np.uint64)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    best = np.zeros(n, np.int64)  # values that the best word from here on takes
-    choice = np.zeros(n, np.int64)
-    for selector, (count, bits) in reversed(list(enumerate(PACKINGS, 2))):
-        wide = np.concatenate([[0], np.cumsum(padded >= np.uint64(1 << bits))])
-        fits = wide[count : count + n] == wide[:n]
-        best[fits], choice[fits] = count, selector
+    narrow = padded.astype(np.uint32) if not n or values.max() < 1 << 32 else padded
+    # What a selector fits, each wider one with fewer values fits too, so the number of those that fit tells the best.
+    steps = np.zeros(n + 1, np.int8)
+    for count, bits in PACKINGS:
+        wide = np.flatnonzero(narrow >= (1 << bits)) if bits < 8 * narrow.itemsize else np.zeros(0, np.int64)
+        edges = np.concatenate([[-1], wide, [n + 60]])
+        room = np.flatnonzero(np.diff(edges) > count)
+        steps[np.minimum(edges[room] + 1, n)] += 1
+        stops = edges[room + 1] - count + 1
+        steps[stops[stops < n]] -= 1
+    fits = np.cumsum(steps[:n], dtype=np.int8)
+    choice = np.where(fits > 0, len(PACKINGS) + 2 - fits, 0)
+    best = np.array([0, 0, *(c for c, _ in PACKINGS)])[choice]  # values that the best word from here on takes
     same = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if n else np.zeros(1, np.int64)
     ends = np.repeat(same[1:], np.diff(same)) if n else same
     run = np.minimum(ends - np.arange(n), (1 << 28) - 1)
@@ -123,6 +130,33 @@ def read_block(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [k if v else None for k, v in zip(keys.tolist(), valid.tolist(), strict=True)], np.split(values, np.cumsum(lengths)[:-1]) if docs else []
 
 
+def _byte_level() -> dict[int, int]:
+    """The character that the byte-level pre-tokenizer puts for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """Piece of the pre-tokenizer -> its ids by the library's model, which is asked when a piece is new.
+
+    At most about `entries` pieces are kept, none longer than `longest`.
+    """
+
+    _BYTES = _byte_level()
+
+    def __init__(self, library, entries: int, longest: int):
+        self.tokenize, self.entries, self.longest = library.model.tokenize, entries, longest
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._BYTES)
+        found = [x.id for x in self.tokenize(shown)]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) < self.entries and len(piece) <= self.longest:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of a whole text, as little-endian u32 bytes, by the tokenizers library.
 
@@ -130,8 +164,9 @@ class Encoder:
     pre-tokenizer never joins what white space separates, so words are encoded
     apart.  Texts of plain Latin-1 characters, for which lower-casing and
     character classes agree between libraries, are cut further into the pieces
-    of the pre-tokenizer.  The cache keeps at most about `entries` pieces, none
-    longer than `longest`, and lives as long as the Python worker.
+    of the pre-tokenizer, and the library's model encodes each.  The cache keeps
+    at most about `entries` pieces, none longer than `longest`, and lives as
+    long as the Python worker.
     """
 
     _LETTERS = "a-zª\xb5º\xdf-\xf6\xf8-\xff"
@@ -144,7 +179,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.entries, self.longest = Tokenizer.from_file(path), entries, longest
-        self.cache: dict[str, bytes] = {}
+        self.cache = Pieces(self.library, entries, longest)
         self.cuts = "\\p{L}" in str(self.library.pre_tokenizer) and "ByteLevel(add_prefix_space=False" in str(self.library.pre_tokenizer) and "Removed" in str(self.library.pre_tokenizer) and "Lowercase" in str(self.library.normalizer)
 
     @classmethod
@@ -161,15 +196,10 @@ class Encoder:
             return b""
         if not self.cuts:
             return self._ask([text])[0]
-        if "<|" not in text and not self._OTHER.search(text):
-            pieces = self._PIECE.findall(text.lower())
-        else:
-            pieces = WORD.findall(text)
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
+        if "<|" not in text and not self._OTHER.search(text):
+            return b"".join(map(cache.__getitem__, self._PIECE.findall(text.lower())))
+        pieces = WORD.findall(text)
         new = [p for p in set(pieces) if p not in cache]
         asked = dict(zip(new, self._ask(new), strict=True))
         out = b"".join(asked[p] if p in asked else cache[p] for p in pieces)

@@ -229,6 +229,18 @@ def test_encoder_equals_library():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_plain_texts_need_the_model_alone():
+    """Pieces of plain texts go to the library's model, kept or not, and never through its whole chain again."""
+    plain = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]))
+    texts = ["It's we'll ''s don't 12 ...", "Straße ÀÉ ciónasiemi ñ² ¼x", plain, " ".join(plain), "a" * 200, "ß" * 100]
+    for entries in (0, 3, 1000):
+        e = tokens.Encoder(tokenizer_path(), entries=entries)
+        e._ask = None
+        for t in texts * 2:
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids
+        assert len(e.cache) <= entries and not any(len(p) > e.longest for p in e.cache)
+
+
 def ids_of(text):
     return np.array(tokens.Encoder.at(tokenizer_path()).library.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
